@@ -32,13 +32,14 @@ def _ts(col: Column) -> Column:
 
 
 def is_new(first_seen: Column, now: Column) -> Column:
-    """Q3: first seen at most 72 h before now (future counts)."""
-    return (F.unix_timestamp(now) - F.unix_timestamp(first_seen)) <= 72 * HOUR_SECONDS
+    """Q3: first seen at most 72 h before now (future counts). Both sides must
+    share a type (zoned or local timestamps)."""
+    return F.coalesce(first_seen >= now - F.expr("INTERVAL 72 HOURS"), F.lit(False))
 
 
 def is_updated(last_changed: Column, now: Column) -> Column:
     """Q4: changed at most 48 h before now; never when unset."""
-    return F.coalesce(last_changed.isNotNull() & ((F.unix_timestamp(now) - F.unix_timestamp(last_changed)) <= 48 * HOUR_SECONDS), F.lit(False))
+    return F.coalesce(last_changed >= now - F.expr("INTERVAL 48 HOURS"), F.lit(False))
 
 
 def deadline_soon(d_day: Column) -> Column:
