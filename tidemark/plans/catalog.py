@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its ``register`` calls run."""
-    from tidemark.plans import q_core, q_dedupe, q_listings, q_query  # noqa: F401
+    from tidemark.plans import q_core, q_dedupe, q_history, q_listings, q_query  # noqa: F401

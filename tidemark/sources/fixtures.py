@@ -156,3 +156,23 @@ def listing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def today_of(value: str) -> dt.date:
     return dt.date.fromisoformat(value)
+
+
+# Previous snapshot: listings_v minus every fifth row, with a changed title and
+# a changed post id on every seventh row, first seen on the previous run.
+PREVIOUS_SQL = dict(LISTINGS_SQL)
+PREVIOUS_SQL["title"] = ("CASE WHEN doc_id % 7 = 0 THEN concat(substring(split_part(text, chr(10), 1), 1, 120), ' (prev)') "
+                         "ELSE substring(split_part(text, chr(10), 1), 1, 120) END")
+PREVIOUS_SQL["source_post_id"] = ("CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN concat(CAST(doc_id AS STRING), 'p') "
+                                  "ELSE CAST(doc_id AS STRING) END")
+PREVIOUS_WHERE = "doc_id % 5 <> 0"
+PREVIOUS_TODAY = "2024-01-20"
+
+
+def previous_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.normalize import with_raw_defaults
+    return with_raw_defaults(_project(table(spark, sf_dir, "documents").where(PREVIOUS_WHERE), PREVIOUS_SQL))
+
+
+def previous_view_sql() -> str:
+    return sql_select(PREVIOUS_SQL, "documents", PREVIOUS_WHERE).replace("AS STRING", "AS VARCHAR")
