@@ -11,7 +11,7 @@ from tidemark.sources.fixtures import view_ctes
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "status_for"
+FLAGSHIP = "run_pipeline"
 
 
 def compose_sql(body: str) -> str:
@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its ``register`` calls run."""
-    from tidemark.plans import q_core, q_dedupe, q_history, q_listings, q_query  # noqa: F401
+    from tidemark.plans import q_core, q_curation, q_dedupe, q_history, q_listings, q_query, q_run  # noqa: F401
