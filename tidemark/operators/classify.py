@@ -6,6 +6,7 @@ are computed once and referenced by the type, tag, score and reason columns.
 """
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 
@@ -34,12 +35,25 @@ def keyword_pattern(word: str) -> tuple[str, str] | None:
     return "substring", needle
 
 
-def keyword_hit(text: Column, word: str) -> Column:
-    """C2 for one keyword on already folded text."""
+TOKEN_SPLIT = "[^a-z0-9]+"
+SINGLE_TOKEN = re.compile(r"[a-z0-9]+")
+USE_TOKENS = os.environ.get("TIDEMARK_KEYWORD_TOKENS", "1") == "1"
+
+
+def keyword_hit(text: Column, word: str, tokens: Column | None = None) -> Column:
+    """C2 for one keyword on already folded text.
+
+    A keyword made only of ``[a-z0-9]`` matches with boundaries exactly when it
+    equals one maximal ``[a-z0-9]`` run, so with the run array (``tokens``,
+    split once per row) it is a membership test instead of a regex scan.
+    """
     kind = keyword_pattern(word)
     if kind is None:
         return F.lit(False)
     if kind[0] == "regex":
+        needle = normalized(word)
+        if tokens is not None and USE_TOKENS and SINGLE_TOKEN.fullmatch(needle):
+            return F.array_contains(tokens, needle)
         return text.rlike(kind[1])
     return text.contains(kind[1])
 
@@ -101,10 +115,14 @@ def classify(df: DataFrame, taxonomy: dict) -> DataFrame:
             "title", "summary", "body_text", "original_category", "eligibility", "benefits")])),
         "__cat_f": fold_text(F.col("original_category")),
     })
+    folded = folded.withColumns({
+        "__title_tok": F.array_distinct(F.split(F.col("__title_f"), TOKEN_SPLIT)),
+        "__comb_tok": F.array_distinct(F.split(F.col("__comb_f"), TOKEN_SPLIT)),
+    })
     flags = {}
     for w in words:
-        flags[title_flag[w]] = keyword_hit(F.col("__title_f"), w)
-        flags[comb_flag[w]] = keyword_hit(F.col("__comb_f"), w)
+        flags[title_flag[w]] = keyword_hit(F.col("__title_f"), w, F.col("__title_tok"))
+        flags[comb_flag[w]] = keyword_hit(F.col("__comb_f"), w, F.col("__comb_tok"))
     flagged = folded.withColumns(flags)
 
     # C3 primary type: first type with a title hit, else first with a combined hit.
