@@ -17,7 +17,7 @@ from tidemark.plans import catalog  # noqa: E402
 from tidemark.session import get_spark  # noqa: E402
 
 HEADLINE = [
-    "run_pipeline", "normalize_listing", "dedupe_listings", "reconcile_history", "canonical_url", "fold_text",
+    "normalize_listing", "dedupe_listings", "reconcile_history", "canonical_url", "fold_text",
     "type_tab_counts", "filter_listings", "sort_relevance", "page_slice", "status_for", "dataset_rank",
     "personal_restore", "failure_streak", "source_counts", "apply_patches",
 ]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.config import taxonomy as tx
 from tidemark.functions.url import is_http_url
 
-DATASET_ORD = F.when(F.col("dataset") == "active", 0).when(F.col("dataset") == "undated", 1).when(F.col("dataset") == "closed", 2).otherwise(3)
+def dataset_ord():
+    return F.when(F.col("dataset") == "active", 0).when(F.col("dataset") == "undated", 1).when(F.col("dataset") == "closed", 2).otherwise(3)
 
 
 def _ts_ok(col):
@@ -21,7 +22,7 @@ def _ts_ok(col):
 
 def violations(df: DataFrame, row: str = "ingest_seq") -> DataFrame:
     """(dataset, row, rule) for every failed rule."""
-    w = Window.partitionBy("id").orderBy(DATASET_ORD, F.col(row))
+    w = Window.partitionBy("id").orderBy(dataset_ord(), F.col(row))
     score = F.col("relevance.score")
     dec = F.col("relevance.decision")
     src_ok = F.forall("sources", lambda s: (F.coalesce(s["source_id"], F.lit("")) != "") & (F.coalesce(s["source_name"], F.lit("")) != "")

@@ -13,8 +13,12 @@ from tidemark.plans.q_listings import NORM, NORM_CTES, normalized
 from tidemark.sources import fixtures as fx
 from tidemark.sources.tables import table
 
-NOW_TS = F.to_timestamp(F.lit(fx.NOW_ISO))
-NOW_NTZ = F.lit(fx.NOW_LOCAL).cast("timestamp_ntz")
+def now_ts():
+    return F.to_timestamp(F.lit(fx.NOW_ISO))
+
+
+def now_ntz():
+    return F.lit(fx.NOW_LOCAL).cast("timestamp_ntz")
 USER = 7
 
 
@@ -52,7 +56,7 @@ def _cols(df):
 
 
 def _quick(df, tag):
-    return query.quick_tag_match(tag, F.col("first_seen_ts"), F.col("last_changed_ts"), F.col("d_day"), F.col("field_tags"), F.col("audience_tags"), NOW_TS)
+    return query.quick_tag_match(tag, F.col("first_seen_ts"), F.col("last_changed_ts"), F.col("d_day"), F.col("field_tags"), F.col("audience_tags"), now_ts())
 
 
 def _pred(df, f: Filters):
@@ -300,7 +304,7 @@ STALE_SQL = f"(last_success_at IS NULL OR last_success_at < TIMESTAMP '{fx.NOW_L
 
 def _streaks(spark, sf):
     s = health.streaks(fx.run_log_v(spark, sf))
-    return s.withColumn("stale", health.is_stale(F.col("last_success_at"), F.col("consecutive_failures"), NOW_NTZ))
+    return s.withColumn("stale", health.is_stale(F.col("last_success_at"), F.col("consecutive_failures"), now_ntz()))
 
 
 @register("failure_streak", STREAK_SQL + "SELECT source_id, consecutive_failures, strftime(last_success_at, '%Y-%m-%d %H:%M:%S.%f') AS last_success_at FROM st")
