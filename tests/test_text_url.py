@@ -44,3 +44,20 @@ def test_clean_text_and_title_markers(spark):
     r = df.select(clean_text(F.col("a")).alias("a"), strip_title_markers(F.col("b")).alias("b")).first()
     assert r.a == "a & b c"
     assert r.b == "제목 이름"
+
+
+def test_java_whitespace_class_equals_python(spark):
+    from tidemark.functions.text import JAVA_WS
+    rows = [(i, chr(i)) for i in range(0x10000) if not (0xD800 <= i <= 0xDFFF)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    got = {r.id for r in df.where(F.col("c").rlike("^" + JAVA_WS + "$")).collect()}
+    assert got == {i for i, c in rows if c.isspace()}
+
+
+def test_fold_guard_covers_every_fold(spark):
+    import sys
+    from tidemark.functions.text import fold
+    rows = [(chr(i),) for i in range(sys.maxunicode + 1) if not (0xD800 <= i <= 0xDFFF) and chr(i).lower() != chr(i).casefold()]
+    df = spark.createDataFrame(rows, "c string")
+    got = [r.f for r in df.select(fold(F.col("c")).alias("f")).collect()]
+    assert got == [c.casefold() for (c,) in rows]

@@ -19,11 +19,18 @@ def _cp(ch: str) -> str:
 
 @lru_cache(maxsize=1)
 def whitespace_class() -> str:
-    """Regex class equal to Python's ``str.isspace`` set, usable in Java and RE2."""
+    """Regex class equal to Python's ``str.isspace`` set, usable in Java and RE2
+    (explicit code points; used for the DuckDB oracle and inside other classes)."""
     chars = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
     return "[" + "".join(_cp(c) for c in chars) + "]"
 
 
+# The same set for Java regexes as one property plus four code points, which
+# compiles to a short predicate instead of a chain of single characters
+# (checked equal to str.isspace over every code point in the tests).
+JAVA_WS = r"[\p{javaWhitespace}\x{0085}\x{00A0}\x{2007}\x{202F}]"
+
+
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Characters whose casefold differs from their lower-case form.
@@ -56,22 +63,29 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(src), "".join(dst), tuple(mseen.items())
 
 
+# Only these can casefold differently from lower(): micro sign, sharp s and
+# characters from U+0100 up (derived from the fold tables, checked in tests).
+FOLD_RARE = r"[\x{00B5}\x{0100}-\x{10FFFF}]"
+
+
 def fold(col: Column) -> Column:
-    """Python ``str.casefold`` as a Spark expression."""
+    """Python ``str.casefold`` as a Spark expression.
+
+    Common text (ASCII and Latin-1 letters) takes ``lower`` plus one plain
+    substring replace for sharp s; the full translate / multi-character path
+    runs only for rows holding a rarer character.
+    """
     src, dst, multi = _fold_tables()
-    low = F.translate(F.lower(col), src, dst)
-    if not multi:
-        return low
-    guard = "[" + "".join(_cp(s) for s, _ in multi) + "]"
-    replaced = low
+    low = F.lower(col)
+    full = F.translate(low, src, dst)
     for s, d in multi:
-        replaced = F.replace(replaced, F.lit(s), F.lit(d))
-    return F.when(low.rlike(guard), replaced).otherwise(low)
+        full = F.replace(full, F.lit(s), F.lit(d))
+    return F.when(low.rlike(FOLD_RARE), full).otherwise(F.replace(low, F.lit("\u00df"), F.lit("ss")))
 
 
 def collapse_ws(col: Column) -> Column:
     """``re.sub(r"\\s+", " ", v).strip()`` with Python's Unicode whitespace."""
-    return F.trim(F.regexp_replace(col, whitespace_class() + "+", " "))
+    return F.trim(F.regexp_replace(col, JAVA_WS + "+", " "))
 
 
 def fold_text(col: Column) -> Column:
@@ -109,6 +123,6 @@ def clean_text(col: Column) -> Column:
 
 def strip_title_markers(col: Column) -> Column:
     """Collapse whitespace, drop leading ``>``, fullwidth bar, bar, middle dot, spaces."""
-    ws = whitespace_class()
+    ws = JAVA_WS
     collapsed = F.regexp_replace(col, ws + "+", " ")
     return F.trim(F.regexp_replace(collapsed, "^(?:[>\\x{FF5C}|\\x{00B7}]|" + ws + ")+", ""))

@@ -115,9 +115,14 @@ def classify(df: DataFrame, taxonomy: dict) -> DataFrame:
             "title", "summary", "body_text", "original_category", "eligibility", "benefits")])),
         "__cat_f": fold_text(F.col("original_category")),
     })
+    # Runs of [a-z0-9] that equal a single-token keyword, found with one
+    # hash-set intersection per row; each flag then scans only the hits.
+    single = sorted({normalized(w) for w in words if keyword_pattern(w) and keyword_pattern(w)[0] == "regex"
+                     and SINGLE_TOKEN.fullmatch(normalized(w))})
+    vocab = F.array(*[F.lit(t) for t in single]) if single else F.array().cast("array<string>")
     folded = folded.withColumns({
-        "__title_tok": F.array_distinct(F.split(F.col("__title_f"), TOKEN_SPLIT)),
-        "__comb_tok": F.array_distinct(F.split(F.col("__comb_f"), TOKEN_SPLIT)),
+        "__title_tok": F.array_intersect(F.split(F.col("__title_f"), TOKEN_SPLIT), vocab),
+        "__comb_tok": F.array_intersect(F.split(F.col("__comb_f"), TOKEN_SPLIT), vocab),
     })
     flags = {}
     for w in words:
