@@ -1,0 +1,116 @@
+import json
+
+from tidemark.operators import layouts as ly
+
+NOW = "2026-07-30T12:00:00+09:00"
+TODAY = "2026-07-30"
+
+
+def pages(spark, *rows):
+    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+
+
+def test_json_ld_and_detail_fallback(spark):
+    ld = {"@context": "https://schema.org", "@graph": [{"@type": ["Event"], "name": "AI 해커톤 2026", "url": "/e/1",
+          "organizer": {"name": "주최사"}, "startDate": "2026-08-01", "endDate": "2026-08-20"}, {"@type": "Thing", "name": "x", "url": "/y"}]}
+    html = f'<html><script type="application/ld+json">{json.dumps(ld, ensure_ascii=False)}</script></html>'
+    src = ly.Source("s", "Site", list_url="https://site.example.org/list")
+    got = ly.json_ld_items(pages(spark, ("https://site.example.org/list", html)), src, NOW).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.title, r.source_url, r.organizer, r.recruit_end, r.date_kind) == ("AI 해커톤 2026", "https://site.example.org/e/1", "주최사", "2026-08-20", "exact")
+
+
+def test_structured_pages_detail_and_fallback(spark):
+    listing = ('<a href="/p/1">2026 게임잼 참가자 모집 공고</a><a href="/p/2">인디 게임 공모전 안내문</a>'
+               '<a href="/about">오시는길 안내 페이지입니다</a>')
+    detail = ('<html><head><meta property="og:title" content="게임잼 본공고 | Site"><meta name="description" content="요약 문장">'
+              '</head><body>주최: 게임협회 | 접수 2026.08.01 ~ 2026.08.15</body></html>')
+    src = ly.Source("s", "Site", list_url="https://site.example.org/list")
+    pg = pages(spark, ("https://site.example.org/list", listing), ("https://site.example.org/p/1", detail))
+    got = {r.source_url: r for r in ly.structured_pages(pg, src, NOW).collect() if r.page_id == 0}
+    assert got["https://site.example.org/p/1"].title == "게임잼 본공고"
+    assert got["https://site.example.org/p/1"].recruit_end == "2026-08-15"
+    assert got["https://site.example.org/p/1"].organizer == "게임협회"
+    assert got["https://site.example.org/p/2"].summary == "상세 정보는 원문 확인 필요"
+    assert "https://site.example.org/about" not in got
+
+
+def test_notice_rows_support(spark):
+    row = ('<table><tr><td>1</td><td>기술</td><td><a href="/sii/selectSIIA200Detail.do?pblancId=P77&x=1">AI 바우처 페이지 이동</a></td>'
+           '<td>2026.07.01 ~ 2026.08.10</td><td>-</td><td>진흥원</td><td>2026.06.30</td></tr>'
+           '<tr><td>short</td><td><a href="/sii/selectSIIA200Detail.do?pblancId=P78">x</a></td></tr></table>')
+    src = ly.Source("biz", "기업마당", "government", 80)
+    got = ly.notice_rows(pages(spark, ("https://biz.example.org/list?keyword=AI", row)), src, "support", NOW).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.source_post_id, r.title, r.organizer, r.recruit_start, r.recruit_end) == ("P77", "AI 바우처", "진흥원", "2026-07-01", "2026-08-10")
+    assert r.summary == "기업마당 공개 지원사업 · 기술 · 검색어 AI"
+
+
+def test_support_table_short_dates(spark):
+    row = ('<tr><td>게임</td><td><a href="/kocca/pims/view.do?intcNo=55&menuNo=1">제작 지원</a></td>'
+           '<td>26.07.01 ~ 26.08.31</td><td>진행</td></tr><tr><td>x</td><td><a href="/kocca/pims/view.do?intcNo=56">B</a></td>'
+           '<td>26.02.30 ~ 26.13.01</td><td>-</td></tr>')
+    src = ly.Source("kocca", "한국콘텐츠진흥원", "official", 100)
+    got = {r.source_post_id: r for r in ly.support_table(pages(spark, ("https://kocca.example.org/list", row)), src, NOW).collect()}
+    assert (got["55"].recruit_start, got["55"].recruit_end) == ("2026-07-01", "2026-08-31")
+    assert got["55"].original_category == "디지털 콘텐츠 · 게임"
+    assert got["56"].recruit_end is None and got["56"].date_kind == "unknown"
+
+
+def test_relative_deadlines(spark):
+    ks = ('<a href="javascript:go_view(123);"><p class="tit">창업 <b>지원</b></p><span>D-5</span></a>'
+          '<a href="javascript:go_view(124);"><p class="tit">no deadline</p></a>')
+    src = ly.Source("ks", "K-Startup", list_url="https://ks.example.org/list?page=1")
+    got = ly.dday_list(pages(spark, ("https://ks.example.org/list", ks)), src, TODAY, NOW).collect()
+    assert [(r.source_post_id, r.title, r.recruit_end) for r in got] == [("123", "창업 지원", "2026-08-04")]
+    assert got[0].source_url == "https://ks.example.org/list?page=1&schM=view&pbancSn=123"
+    wev = ('<ul><li><div class="tit"><a href="?c=find&gbn=view&ix=9">게임 공모</a></div><div class="sub-tit">분야 : 게임/소프트웨어</div>'
+           '<div class="organ">주최사</div><div class="day">D+3</div></li>'
+           '<li><div class="tit"><a href="?gbn=view&ix=10">앱 공모</a></div><div class="sub-tit">웹</div><div class="organ"></div>'
+           '<div class="day">D-2</div></li></ul>')
+    src2 = ly.Source("wev", "위비티")
+    got2 = {r.source_post_id: r for r in ly.category_list(pages(spark, ("https://wev.example.org/", wev)), src2, TODAY, NOW).collect()}
+    assert got2["9"].recruit_end == "2026-07-27" and got2["9"].original_category == "게임/소프트웨어"
+    assert got2["10"].recruit_end == "2026-08-01" and got2["10"].organizer == "위비티"
+
+
+def test_server_state_and_embedded_search(spark):
+    state = {"props": {"pageProps": {"__APOLLO_STATE__": {
+        "Activity:7": {"id": 7, "title": "데이터 챌린지", "organizationName": "기관", "recruitCloseAt": 1785423600000},
+        "Other:1": {"title": "skip"}}}}}
+    html = f'<script id="__NEXT_DATA__" type="application/json">{json.dumps(state, ensure_ascii=False)}</script>'
+    src = ly.Source("lk", "링커리어", homepage="https://lk.example.org/")
+    got = ly.server_state(pages(spark, ("https://lk.example.org/list", html)), src, NOW).collect()
+    assert [(r.source_post_id, r.organizer, r.recruit_end) for r in got] == [("7", "기관", "2026-07-31")]
+    data = {"results": [{"id": {"raw": 5}, "subdomain": {"raw": "grp"}, "title": {"raw": "AI 밋업"}, "event_system_type": {"raw": "Online"},
+                         "payway": {"raw": "true"}, "register_due_date": {"raw": "2026-08-03T10:00:00"}}]}
+    html2 = "<script>window.x = {searchDataRaw: " + json.dumps(data, ensure_ascii=False) + ", other: 1}</script>"
+    src2 = ly.Source("ev", "이벤터스", homepage="https://ev.example.org")
+    r = ly.embedded_search(pages(spark, ("https://ev.example.org/s", html2)), src2, NOW).first()
+    assert (r.source_url, r.mode, r.fee, r.recruit_end, r.application_url) == (
+        "https://ev.example.org/grp/event/5", "online", "paid", "2026-08-03", "https://ev.example.org/grp/event/5")
+
+
+def test_endpoint_records(spark):
+    recs = {"listJsonData": [
+        {"contest_pk": 11, "program_nm": "[공지] // 게임 공모전", "host_company": "사", "accept_dt": "2026-07-01", "finish_dt": "2026-08-01", "process": "ING"},
+        {"contest_pk": 12, "program_nm": "지난 대회", "finish_dt": "2026-05-01", "process": "END"},
+        {"contest_pk": 13, "program_nm": "오래된 대회", "finish_dt": "2026-01-01", "process": "END"}]}
+    src = ly.Source("tc", "씽굿", list_url="https://tc.example.org/view?pk=")
+    pg = pages(spark, ("https://tc.example.org/api", json.dumps(recs, ensure_ascii=False)))
+    open_ = ly.endpoint_records(pg, src, NOW, TODAY, ended_only=False).collect()
+    assert [(r.source_post_id, r.title) for r in open_] == [("11", "게임 공모전")]
+    closed = ly.endpoint_records(pg, src, NOW, TODAY, ended_only=True).collect()
+    assert [r.source_post_id for r in closed] == ["12"]
+
+
+def test_markdown_lists(spark):
+    md = "## 26년 8월\n\n- __[AI 컨퍼런스](https://conf.example.org)__ - 분류: `컨퍼런스` - 주최: 협회 - 일시: 08. 21(목)\n"
+    src = ly.Source("dev", "Dev", homepage="https://dev.example.org/")
+    r = ly.markdown_lists(pages(spark, ("https://dev.example.org/readme", md)), src, NOW, 2026).first()
+    assert (r.title, r.organizer, r.recruit_end) == ("AI 컨퍼런스", "협회", "2026-08-21")
+    md2 = "- [Meetup](/m/1)\n  - 주최: 모임\n  - 접수: 2026.08.01 ~ 2026.08.09\n- [Next](/m/2)\n"
+    got = ly.markdown_lists(pages(spark, ("https://dev.example.org/readme", md2)), src, NOW, 2026).collect()
+    assert [(x.title, x.organizer, x.recruit_end) for x in got] == [("Meetup", "모임", "2026-08-09"), ("Next", "Dev", None)]
