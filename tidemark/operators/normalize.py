@@ -6,6 +6,8 @@ deadline status.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,4 +109,7 @@ def normalize(raw: DataFrame, taxonomy: dict, now_iso: str, today: str) -> DataF
         F.lit(False).alias("is_manual_reviewed"),
         dedupe_key(F.col("title"), F.col("__org"), F.col("recruit_end")).alias("dedupe_key"),
     )
-    return out.select("ingest_seq", *LISTING_COLUMNS)
+    # Observed row count: also a plan boundary. Without it a later filter on
+    # decision / status / dataset is pushed below the scoring projections and
+    # every alias level multiplies the expression tree (megabytes of plan).
+    return out.select("ingest_seq", *LISTING_COLUMNS).observe(f"normalized_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import taxonomy as tx
 from tidemark.functions.url import is_http_url
@@ -50,3 +51,55 @@ def assert_valid(df: DataFrame, row: str = "ingest_seq") -> None:
     n = violations(df, row).count()
     if n:
         raise ValueError(f"{n} data-quality violations")
+
+
+def payload_violations(spark, root: str) -> DataFrame:
+    """V1-V6 over a written run (manifest + dataset partitions + statuses):
+    (dataset, row, rule) rows for a missing dataset, a wrong schema version,
+    an unparseable generated_at, unreadable rows and bad status rows."""
+    import json
+    import os
+
+    from tidemark import SCHEMA_VERSION
+    from tidemark.schema import LISTING_SCHEMA, REQUIRED_LISTING
+    from tidemark.sources.snapshot import DATASETS
+
+    found: list[tuple[str, int, str]] = []
+    mpath = f"{root.rstrip('/')}/_manifest.json".replace("file:", "")
+    if not os.path.exists(mpath):
+        return spark.createDataFrame([(d, -1, "V1_missing") for d in DATASETS], "dataset string, row long, rule string")
+    with open(mpath, encoding="utf-8") as fh:
+        try:
+            manifest = json.load(fh)
+        except ValueError:
+            return spark.createDataFrame([("manifest", -1, "V1_unreadable")], "dataset string, row long, rule string")
+    if manifest.get("schema_version") != SCHEMA_VERSION:
+        found.append(("manifest", -1, "V2_schema_version"))
+    try:
+        import datetime as _dt
+        _dt.datetime.fromisoformat(manifest["generated_at"])
+    except (KeyError, TypeError, ValueError):
+        found.append(("manifest", -1, "V3_generated_at"))
+    run_dir = f"{root.rstrip('/')}/{manifest.get('run', '')}"
+    present = set()
+    if os.path.isdir(run_dir.replace("file:", "")):
+        present = {n.split("=", 1)[1] for n in os.listdir(run_dir.replace("file:", "")) if n.startswith("dataset=")}
+    for d in DATASETS:
+        if d not in present and d in manifest.get("datasets", []):
+            found.append((d, -1, "V1_missing"))
+    meta = spark.createDataFrame(found, "dataset string, row long, rule string")
+    if not present:
+        return meta
+    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("rank", T.LongType()), T.StructField("dataset", T.StringType()), T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(run_dir)
+    bad = F.col("_corrupt_record").isNotNull()
+    for c in REQUIRED_LISTING:
+        bad = bad | F.col(c).isNull()
+    conv = rows.where(bad).select("dataset", F.coalesce(F.col("rank"), F.lit(-1)).alias("row"), F.lit("V6_conversion").alias("rule"))
+    return meta.unionByName(conv)
+
+
+def status_violations(statuses: DataFrame) -> DataFrame:
+    """V5: each status row has a source id and a valid run state."""
+    bad = (F.coalesce(F.col("source_id"), F.lit("")) == "") | ~F.coalesce(F.col("status"), F.lit("")).isin(*tx.RUN_STATES)
+    return statuses.where(bad).select(F.lit("sources").alias("dataset"), F.monotonically_increasing_id().alias("row"), F.lit("V5_status").alias("rule"))

@@ -12,6 +12,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import SCHEMA_VERSION
 from tidemark.schema import LISTING_SCHEMA, REQUIRED_LISTING
@@ -23,7 +24,7 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """S1 + S2: explicit-schema read; a missing path gives an empty result;
     unknown fields are dropped; rows that fail conversion or miss a required
     field are skipped."""
-    schema = LISTING_SCHEMA.add("_corrupt_record", "string")
+    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
     fs_path = path.replace("file:", "")
     if not os.path.exists(fs_path) and path.startswith(("/", "file:")):
         return spark.createDataFrame([], LISTING_SCHEMA)
@@ -68,6 +69,6 @@ def read_published(spark: SparkSession, root: str, dataset: str | None = None) -
         manifest = json.load(fh)
     if manifest.get("schema_version") != SCHEMA_VERSION:
         raise ValueError("unsupported schema_version")
-    schema = LISTING_SCHEMA.add("rank", "long").add("dataset", "string")
+    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("rank", T.LongType()), T.StructField("dataset", T.StringType())])
     df = spark.read.schema(schema).json(f"{root.rstrip('/')}/{manifest['run']}")
     return df.where(F.col("dataset") == dataset) if dataset else df
