@@ -21,8 +21,9 @@ BOOL_FIELDS = ("is_adjacent",)
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a config table only when its row count is within ``limit``."""
-    n = df.count()
+    """Broadcast a table only after counting it: at most ``limit`` rows are
+    hinted; beyond that the join is left to the planner (shuffle join)."""
+    n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
 
 
@@ -47,7 +48,7 @@ def resolve_targets(items: DataFrame, patches: DataFrame, seq: str = "ingest_seq
     by_id = items.groupBy("id").agg(F.max(seq).alias("t_id"))
     by_url = items.select(seq, F.explode(F.transform("sources", lambda s: s["source_url"])).alias("source_url")).groupBy("source_url").agg(F.max(seq).alias("t_url"))
     p = patches.select("patch_ord", "id", "source_url")
-    p = p.join(F.broadcast(by_id.join(p.select("id"), "id", "left_semi")), "id", "left").join(
+    p = p.join(by_id.join(p.select("id"), "id", "left_semi"), "id", "left").join(
         by_url.join(p.select("source_url"), "source_url", "left_semi"), "source_url", "left")
     return p.select("patch_ord", F.coalesce("t_id", "t_url").alias("target")).where(F.col("target").isNotNull())
 
@@ -110,7 +111,7 @@ def manual_items(manual: DataFrame, taxonomy: dict, now_iso: str, today: str) ->
     )
     norm = normalize(raw, taxonomy, now_iso, today)
     extra = manual.select(F.col("manual_ord").alias("ingest_seq"), "fields", F.coalesce("force_publish", F.lit(True)).alias("fp"))
-    j = norm.join(F.broadcast(extra), "ingest_seq")
+    j = norm.join(bounded_broadcast(extra), "ingest_seq")
     sets = {f: F.when(F.map_contains_key("fields", f), _typed(f, F.col("fields")[f])).otherwise(F.col(f)) for f in ALLOWED_PATCH_FIELDS}
     j = j.withColumns(sets)
     status, d_day = status_for(F.col("recruit_start"), F.col("recruit_end"), F.col("date_kind"), F.lit(today).cast("date"))
