@@ -84,3 +84,13 @@ def test_payload_validation(spark, tmp_path):
     back = snap.read_published(spark, root)
     assert back.count() == it.count()
     assert quality.payload_violations(spark, str(tmp_path / "none")).count() == 4
+
+
+def test_personal_state_load(spark):
+    from tidemark.operators.personal import load_state
+    df = spark.createDataFrame([('{"version":1,"favorites":["a"],"read":[],"hidden":["b","c"]}',), ('{"version":2,"hidden":["x"]}',),
+                                ("not json",), ('{"version":1,"hidden":"oops"}',)], "value string")
+    got = [(r.favorites, r.read, r.hidden) for r in load_state(df).collect()]
+    assert got[0] == (["a"], [], ["b", "c"])
+    assert got[1] == ([], [], []) and got[2] == ([], [], [])
+    assert got[3][2] == []

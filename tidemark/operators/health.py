@@ -33,3 +33,33 @@ def is_stale(last_success_at: Column, consecutive_failures: Column, now: Column)
 def health_label(stale: Column, last_ok: Column) -> Column:
     """Stale -> warning, last run succeeded -> ok, else failed."""
     return F.when(stale, "warning").when(last_ok, "ok").otherwise("failed")
+
+
+def run_statuses(outcomes: DataFrame, previous: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """R2: one status row per selected source from this run's outcome.
+
+    ``outcomes``: (source_id, source_name, ok, error, started_at, finished_at,
+    run_stamp); ``previous``: (source_id, consecutive_failures,
+    last_success_at); ``counts``: (source_id, collected_count,
+    published_count, review_count). A failure keeps the previous last success,
+    adds one to the streak and keeps at most 500 characters of the error; a
+    success resets the streak and stamps the run. One failing source never
+    stops the others: every outcome yields its own row.
+    """
+    prev = previous.select("source_id", F.col("consecutive_failures").alias("p_fail"), F.col("last_success_at").alias("p_last"))
+    j = outcomes.join(prev, "source_id", "left")
+    if counts is not None:
+        j = j.join(counts, "source_id", "left")
+    zero = F.lit(0).cast("long")
+    ok = F.col("ok")
+
+    def cnt(c):
+        return F.when(ok, F.coalesce(F.col(c).cast("long"), zero)).otherwise(zero) if counts is not None else zero
+    return j.select(
+        "source_id", "source_name", F.when(ok, F.lit("success")).otherwise(F.lit("failed")).alias("status"),
+        "started_at", "finished_at", cnt("collected_count").alias("collected_count"), cnt("published_count").alias("published_count"),
+        cnt("review_count").alias("review_count"), zero.alias("new_count"), zero.alias("changed_count"),
+        F.when(ok, zero).otherwise(F.coalesce(F.col("p_fail").cast("long"), zero) + 1).alias("consecutive_failures"),
+        F.when(ok, F.col("run_stamp")).otherwise(F.col("p_last")).alias("last_success_at"),
+        F.when(ok, F.lit(None).cast("string")).otherwise(F.substring(F.col("error"), 1, 500)).alias("error"),
+    )

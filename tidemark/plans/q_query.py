@@ -344,3 +344,12 @@ def q_latest_status(spark, sf):
     return r.groupBy("source_id").agg(F.max_by("ok", "run_seq").alias("ok"),
                                       F.date_format(F.max_by("finished_at", "run_seq"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("finished_at"),
                                       F.max("run_seq").cast("bigint").alias("run_seq"))
+
+
+@register("is_new_events", f"""
+SELECT event_id, coalesce(ts >= TIMESTAMP '{fx.NOW_LOCAL}' - INTERVAL 72 HOUR, false) AS is_new,
+       coalesce(ts >= TIMESTAMP '{fx.NOW_LOCAL}' - INTERVAL 48 HOUR, false) AS is_updated FROM events""")
+def q_is_new_events(spark, sf):
+    """Q3 / Q4 on event times (local wall clock), now a parameter."""
+    e = table(spark, sf, "events")
+    return e.select("event_id", query.is_new(F.col("ts"), now_ntz()).alias("is_new"), query.is_updated(F.col("ts"), now_ntz()).alias("is_updated"))
