@@ -11,13 +11,13 @@ from tidemark.plans import sqlgen as sg
 from tidemark.plans.catalog import register
 from tidemark.plans.q_run import SOURCES_SQL, selected
 from tidemark.sources import fixtures as fx
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, text_table
 
 
 @register("page_parse")
 def q_page_parse(spark, sf):
     """Links, meta map, JSON-LD blocks and visible text per page."""
-    p = extract.parse_pages(table(spark, sf, "pages"))
+    p = extract.parse_pages(text_table(spark, sf, "pages"))
     return p.select("page_id", F.size("links").alias("n_links"), F.size("metas").alias("n_metas"), F.size("json_ld").alias("n_json_ld"),
                     F.length("text").alias("text_len"), F.md5("text").alias("text_md5"), "title")
 
@@ -25,13 +25,13 @@ def q_page_parse(spark, sf):
 @register("link_candidates")
 def q_link_candidates(spark, sf):
     """Listing-link candidates per page."""
-    return extract.link_candidates(table(spark, sf, "pages"))
+    return extract.link_candidates(text_table(spark, sf, "pages"))
 
 
 @register("page_detail")
 def q_page_detail(spark, sf):
     """X10 + X13: detail records from parsed pages (source name = host)."""
-    p = extract.parse_pages(table(spark, sf, "pages"))
+    p = extract.parse_pages(text_table(spark, sf, "pages"))
     host = F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     d = extract.detail_records(p.withColumn("host", host), F.col("host"))
     return d.select("page_id", "title", "organizer", "summary", F.length("body_text").alias("body_len"), "recruit_start", "recruit_end")
@@ -40,7 +40,7 @@ def q_page_detail(spark, sf):
 @register("first_sentence")
 def q_first_sentence(spark, sf):
     """X13 over whole documents (title = first line)."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     return d.select("doc_id", extract.first_sentence(F.col("text"), title).alias("sentence"))
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.operators import layouts as ly
 from tidemark.plans.catalog import register
 from tidemark.sources import fixtures as fx
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, text_table
 
 SRC = ly.Source("pages", "Pages", "aggregate", 40, list_url="https://pages.example.org/list", homepage="https://pages.example.org/")
 RUN_DATE = fx.LISTING_TODAY
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages")
+    return text_table(spark, sf, "pages")
 
 
 def _out(df):

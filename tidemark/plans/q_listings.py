@@ -13,7 +13,7 @@ from tidemark.operators import normalize as nz
 from tidemark.plans import sqlgen as sg
 from tidemark.plans.catalog import register
 from tidemark.sources import fixtures as fx
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, text_table
 
 TAX = fx.LATIN_TAXONOMY
 NORM_CTES, NORM = sg.normalized_ctes(TAX, fx.LISTING_TODAY, fx.NOW_ISO)
@@ -43,7 +43,7 @@ SELECT doc_id, {sg.match_key("substr(split_part(text, chr(10), 1), 1, 120)")} AS
        md5({sg.match_key('text')}) AS text_key_md5, CAST(length({sg.match_key('text')}) AS BIGINT) AS text_key_len
 FROM documents""")
 def q_match_key(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     key = tf.match_key(F.col("text"))
     return d.select("doc_id", tf.match_key(F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 120)).alias("title_key"),
                     F.md5(key).alias("text_key_md5"), F.length(key).cast("bigint").alias("text_key_len"))
@@ -53,7 +53,7 @@ def q_match_key(spark, sf):
 SELECT doc_id, lang, md5({sg.fold_text('text')}) AS folded_md5, CAST(length({sg.fold_text('text')}) AS BIGINT) AS folded_len
 FROM documents""")
 def q_fold_text(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     f = tf.fold_text(F.col("text"))
     return d.select("doc_id", "lang", F.md5(f).alias("folded_md5"), F.length(f).cast("bigint").alias("folded_len"))
 
@@ -61,7 +61,7 @@ def q_fold_text(spark, sf):
 @register("clean_text_docs", f"""
 SELECT doc_id, md5({sg.collapse("coalesce(text, '')")}) AS clean_md5 FROM documents""")
 def q_clean_text_docs(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", F.md5(tf.clean_text(F.col("text"))).alias("clean_md5"))
 
 
@@ -213,7 +213,7 @@ SELECT doc_id, CAST(NULL AS VARCHAR) AS range_start,
        CASE WHEN regexp_matches(text, {sg.q(DATE_RE_SQL)}) THEN 'has-date' END AS range_end FROM documents""")
 def q_date_range_docs(spark, sf):
     s, e = dates_from_text(F.col("text"))
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", s.alias("range_start"), F.when(e.isNotNull(), F.lit("has-date")).alias("range_end"))
 
 
@@ -224,5 +224,5 @@ LABEL_SQL = "der" + sg.WS + "*[:\uFF1A]?" + sg.WS + "*([^|]{2,100})"
 SELECT doc_id, {sg.collapse("regexp_extract(text, " + sg.q(LABEL_SQL) + ", 1)")} AS value
 FROM documents WHERE lang = 'de'""")
 def q_label_value(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("lang") == "de")
+    d = text_table(spark, sf, "documents").where(F.col("lang") == "de")
     return d.select("doc_id", extract.label_value(F.col("text"), "der").alias("value"))
