@@ -222,7 +222,7 @@ LABEL_SQL = "der" + sg.WS + "*[:\uFF1A]?" + sg.WS + "*([^|]{2,100})"
 
 @register("label_value", f"""
 SELECT doc_id, {sg.collapse("regexp_extract(text, " + sg.q(LABEL_SQL) + ", 1)")} AS value
-FROM documents WHERE lang = 'de'""")
+FROM documents""")
 def q_label_value(spark, sf):
-    d = text_table(spark, sf, "documents").where(F.col("lang") == "de")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", extract.label_value(F.col("text"), "der").alias("value"))

@@ -29,7 +29,7 @@ LISTINGS_SQL = {
     "title": "substring(split_part(text, chr(10), 1), 1, 120)",
     "organizer": "substring(split_part(text, chr(10), 2), 1, 40)",
     "summary": "substring(text, 1, 200)",
-    "body_text": "substring(text, 1, 6000)",
+    "body_text": "text",
     "source_kind": "CASE doc_id % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'specialist' WHEN 2 THEN 'aggregate' ELSE 'government' END",
     "source_priority": "CASE doc_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 60 WHEN 2 THEN 40 ELSE 80 END",
     "recruit_start": "CAST(DATE '2024-01-01' + CAST(doc_id % 40 AS INT) AS STRING)",
