@@ -42,3 +42,5 @@ def test_second_run_keeps_first_seen(spark):
     # every listing was already seen by the first run
     assert {r.first_seen_at for r in out} == {"2024-01-30T12:00:00+09:00"}
     assert all(r.last_seen_at == fx.NOW_ISO for r in out)
+    # idempotence: the same input again changes nothing
+    assert all(len(r.change_flags) == 0 and r.last_changed_at is None for r in out)
