@@ -94,3 +94,12 @@ def test_personal_state_load(spark):
     assert got[0] == (["a"], [], ["b", "c"])
     assert got[1] == ([], [], []) and got[2] == ([], [], [])
     assert got[3][2] == []
+
+
+def test_duplicate_id_rule(spark):
+    from tidemark.operators import quality
+    it = items(spark)
+    a = it.withColumn("dataset", F.lit("closed"))
+    b = it.withColumn("dataset", F.lit("active"))
+    got = {(r.dataset, r.row) for r in quality.violations(a.unionByName(b)).where("rule = 'V7_duplicate_id'").collect()}
+    assert got == {("closed", 1), ("closed", 2)}

@@ -23,13 +23,17 @@ def _ts_ok(col):
 
 def violations(df: DataFrame, row: str = "ingest_seq") -> DataFrame:
     """(dataset, row, rule) for every failed rule."""
-    w = Window.partitionBy("id").orderBy(dataset_ord(), F.col(row))
+    # V7: the first occurrence of each id in (dataset order, row) comes from a
+    # grouped min (partially aggregated, so a heavily repeated id stays cheap).
+    keyed = df.withColumn("__occ", F.struct(dataset_ord().alias("o"), F.col(row).alias("r")))
+    firsts = keyed.groupBy("id").agg(F.min("__occ").alias("__first"))
+    df = keyed.join(firsts, "id", "left")
     score = F.col("relevance.score")
     dec = F.col("relevance.decision")
     src_ok = F.forall("sources", lambda s: (F.coalesce(s["source_id"], F.lit("")) != "") & (F.coalesce(s["source_name"], F.lit("")) != "")
                       & (F.coalesce(s["source_url"], F.lit("")) != "") & is_http_url(s["source_url"]))
     rules = {
-        "V7_duplicate_id": F.row_number().over(w) > 1,
+        "V7_duplicate_id": F.col("id").isNotNull() & (F.col("__occ") != F.col("__first")),
         "V8_title_or_url": (F.trim(F.coalesce("title", F.lit(""))) == "") | (F.coalesce("source_url", F.lit("")) == "") | ~is_http_url(F.col("source_url")),
         "V8_enums": ~F.col("primary_type").isin(*tx.TYPES) | ~F.col("status").isin(*tx.STATUSES) | ~F.col("date_kind").isin(*tx.DATE_KINDS),
         "V9_summary_length": ~F.length("summary").between(60, 180),

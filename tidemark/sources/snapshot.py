@@ -49,7 +49,9 @@ def write_run(published: DataFrame, root: str, run_id: str, generated_at: str) -
     """S7 + S8: write every dataset (sorted by its rank) under ``root/run_id``
     and then the manifest ``root/_manifest.json`` pointing at it."""
     target = f"{root.rstrip('/')}/{run_id}"
-    out = published.repartition("dataset").sortWithinPartitions("dataset", "rank")
+    # Range partitions over (dataset, rank): many tasks per dataset, each
+    # writing rank-ordered files into its dataset directory.
+    out = published.repartitionByRange("dataset", "rank").sortWithinPartitions("dataset", "rank")
     out.select("dataset", "rank", *LISTING_SCHEMA.fieldNames()).write.mode("overwrite").partitionBy("dataset").json(target)
     manifest = {"schema_version": SCHEMA_VERSION, "generated_at": generated_at, "run": run_id, "datasets": list(DATASETS)}
     tmp = f"{root.rstrip('/')}/_manifest.json.tmp"
