@@ -37,7 +37,17 @@ def q_page_detail(spark, sf):
     return d.select("page_id", "title", "organizer", "summary", F.length("body_text").alias("body_len"), "recruit_start", "recruit_end")
 
 
-@register("first_sentence")
+def _first_sentence_sql() -> str:
+    ws = sg.WS
+    title = "split_part(text, chr(10), 1)"
+    without = (f"(CASE WHEN {title} <> '' AND strpos(text, {title}) > 0 THEN substr(text, 1, strpos(text, {title}) - 1) "
+               f"|| substr(text, strpos(text, {title}) + length({title})) ELSE text END)")
+    marked = f"regexp_replace(regexp_replace({without}, {sg.q('([.!?' + chr(0xB2E4) + '])' + ws + '+')}, '\\1' || chr(1), 'g'), {sg.q(ws + '{2,}')}, chr(1), 'g')"
+    pieces = f"list_filter(list_transform(string_split({marked}, chr(1)), lambda p: {sg.collapse('p')}), lambda p: length(p) BETWEEN 40 AND 220)"
+    return f"coalesce(substr({pieces}[1], 1, 180), {sg.q(tx.DETAIL_DEFAULT)})"
+
+
+@register("first_sentence", f"SELECT doc_id, {_first_sentence_sql()} AS sentence FROM documents")
 def q_first_sentence(spark, sf):
     """X13 over whole documents (title = first line)."""
     d = text_table(spark, sf, "documents")
