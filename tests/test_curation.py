@@ -103,3 +103,18 @@ def test_duplicate_id_rule(spark):
     b = it.withColumn("dataset", F.lit("active"))
     got = {(r.dataset, r.row) for r in quality.violations(a.unionByName(b)).where("rule = 'V7_duplicate_id'").collect()}
     assert got == {("closed", 1), ("closed", 2)}
+
+
+def test_tolerant_listing_read(spark, tmp_path):
+    import json as _json
+
+    from tidemark.sources import snapshot as snap
+    assert snap.read_listings(spark, str(tmp_path / "missing")).count() == 0
+    good = items(spark).drop("ingest_seq")
+    rows = [_json.loads(r.value) for r in snap.to_json_lines(good).collect()]
+    rows[0]["future_field"] = 1            # unknown field: dropped
+    bad = dict(rows[1]); bad.pop("title")  # missing required field: skipped
+    lines = [_json.dumps(rows[0], ensure_ascii=False), _json.dumps(bad, ensure_ascii=False), "{not json"]
+    (tmp_path / "p.json").write_text("\n".join(lines), encoding="utf-8")
+    got = snap.read_listings(spark, str(tmp_path / "p.json")).collect()
+    assert len(got) == 1 and got[0].id == rows[0]["id"]

@@ -58,44 +58,41 @@ def assert_valid(df: DataFrame, row: str = "ingest_seq") -> None:
 
 
 def payload_violations(spark, root: str) -> DataFrame:
-    """V1-V6 over a written run (manifest + dataset partitions + statuses):
-    (dataset, row, rule) rows for a missing dataset, a wrong schema version,
-    an unparseable generated_at, unreadable rows and bad status rows."""
-    import json
-    import os
+    """V1-V6 over a written run (manifest + dataset partitions): (dataset,
+    row, rule) rows for a missing dataset, a wrong schema version, an
+    unparseable generated_at and rows that do not convert. All reads go
+    through Spark."""
+    import datetime as _dt
 
     from tidemark import SCHEMA_VERSION
     from tidemark.schema import LISTING_SCHEMA, REQUIRED_LISTING
-    from tidemark.sources.snapshot import DATASETS
+    from tidemark.sources.snapshot import DATASETS, latest_manifest
 
+    schema_out = "dataset string, row long, rule string"
+    manifest = latest_manifest(spark, root)
+    if manifest is None:
+        return spark.createDataFrame([(d, -1, "V1_missing") for d in DATASETS], schema_out)
     found: list[tuple[str, int, str]] = []
-    mpath = f"{root.rstrip('/')}/_manifest.json".replace("file:", "")
-    if not os.path.exists(mpath):
-        return spark.createDataFrame([(d, -1, "V1_missing") for d in DATASETS], "dataset string, row long, rule string")
-    with open(mpath, encoding="utf-8") as fh:
-        try:
-            manifest = json.load(fh)
-        except ValueError:
-            return spark.createDataFrame([("manifest", -1, "V1_unreadable")], "dataset string, row long, rule string")
     if manifest.get("schema_version") != SCHEMA_VERSION:
         found.append(("manifest", -1, "V2_schema_version"))
     try:
-        import datetime as _dt
         _dt.datetime.fromisoformat(manifest["generated_at"])
     except (KeyError, TypeError, ValueError):
         found.append(("manifest", -1, "V3_generated_at"))
-    run_dir = f"{root.rstrip('/')}/{manifest.get('run', '')}"
-    present = set()
-    if os.path.isdir(run_dir.replace("file:", "")):
-        present = {n.split("=", 1)[1] for n in os.listdir(run_dir.replace("file:", "")) if n.startswith("dataset=")}
-    for d in DATASETS:
-        if d not in present and d in manifest.get("datasets", []):
+    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("rank", T.LongType()), T.StructField("dataset", T.StringType()),
+                                                   T.StructField("_corrupt_record", T.StringType())])
+    try:
+        rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(
+            f"{root.rstrip('/')}/runs/{manifest['run']}")
+        present = {r.dataset for r in rows.select("dataset").distinct().collect()}
+    except Exception:  # noqa: BLE001 - the run directory itself is missing
+        rows, present = None, set()
+    for d in manifest.get("datasets") or []:
+        if d not in present:
             found.append((d, -1, "V1_missing"))
-    meta = spark.createDataFrame(found, "dataset string, row long, rule string")
-    if not present:
+    meta = spark.createDataFrame(found, schema_out)
+    if rows is None:
         return meta
-    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("rank", T.LongType()), T.StructField("dataset", T.StringType()), T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(run_dir)
     bad = F.col("_corrupt_record").isNotNull()
     for c in REQUIRED_LISTING:
         bad = bad | F.col(c).isNull()

@@ -1,15 +1,13 @@
 """Snapshot payload IO.
 
-A dataset is written as JSON-lines files under a run-stamped directory and
-published by writing a small manifest naming that directory; readers follow
-the manifest, so a half-written run is never visible. Parquet snapshots are
-written partitioned by dataset with dynamic partition overwrite.
+A run is written as JSON-lines files under ``runs/<run_id>`` (partitioned by
+dataset) and published by a one-row manifest under ``_manifests/<run_id>``
+written afterwards; readers take the newest manifest, so a half-written run is
+never visible. All reads and writes go through Spark, so the root may be any
+file system the cluster uses.
 """
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +23,10 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
     unknown fields are dropped; rows that fail conversion or miss a required
     field are skipped."""
     schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-    fs_path = path.replace("file:", "")
-    if not os.path.exists(fs_path) and path.startswith(("/", "file:")):
+    try:
+        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    except Exception:  # noqa: BLE001 - a missing payload reads as empty
         return spark.createDataFrame([], LISTING_SCHEMA)
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     ok = F.col("_corrupt_record").isNull()
     for c in REQUIRED_LISTING:
         ok = ok & F.col(c).isNotNull()
@@ -45,32 +43,44 @@ def from_json_lines(df: DataFrame, col: str = "value") -> DataFrame:
     return df.select(F.from_json(F.col(col), LISTING_SCHEMA).alias("r")).select("r.*")
 
 
+MANIFEST_SCHEMA = "schema_version int, generated_at string, run string, datasets array<string>"
+
+
 def write_run(published: DataFrame, root: str, run_id: str, generated_at: str) -> str:
-    """S7 + S8: write every dataset (sorted by its rank) under ``root/run_id``
-    and then the manifest ``root/_manifest.json`` pointing at it."""
-    target = f"{root.rstrip('/')}/{run_id}"
+    """S7 + S8: write every dataset (rank-ordered files) under
+    ``root/runs/run_id``, then a one-row manifest under ``root/_manifests``.
+    A run is visible only once its manifest exists; all IO goes through Spark,
+    so the root can be any file system the cluster uses."""
+    spark = published.sparkSession
+    base = root.rstrip("/")
+    target = f"{base}/runs/{run_id}"
     # Range partitions over (dataset, rank): many tasks per dataset, each
     # writing rank-ordered files into its dataset directory.
     out = published.repartitionByRange("dataset", "rank").sortWithinPartitions("dataset", "rank")
     out.select("dataset", "rank", *LISTING_SCHEMA.fieldNames()).write.mode("overwrite").partitionBy("dataset").json(target)
-    manifest = {"schema_version": SCHEMA_VERSION, "generated_at": generated_at, "run": run_id, "datasets": list(DATASETS)}
-    tmp = f"{root.rstrip('/')}/_manifest.json.tmp"
-    with open(tmp.replace("file:", ""), "w", encoding="utf-8") as fh:
-        json.dump(manifest, fh)
-    os.replace(tmp.replace("file:", ""), f"{root.rstrip('/')}/_manifest.json".replace("file:", ""))
+    manifest = spark.createDataFrame([(SCHEMA_VERSION, generated_at, run_id, list(DATASETS))], MANIFEST_SCHEMA)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{base}/_manifests/{run_id}")
     return target
 
 
+def latest_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The newest published manifest (by generated_at, then run id), or None."""
+    try:
+        m = spark.read.schema(MANIFEST_SCHEMA).json(f"{root.rstrip('/')}/_manifests/*")
+    except Exception:  # noqa: BLE001 - a missing root means nothing is published yet
+        return None
+    row = m.orderBy(F.col("generated_at").desc(), F.col("run").desc()).limit(1).collect()
+    return row[0].asDict() if row else None
+
+
 def read_published(spark: SparkSession, root: str, dataset: str | None = None) -> DataFrame:
-    """Q13: read the run named by the manifest; a dataset filter prunes to one
-    partition directory."""
-    path = f"{root.rstrip('/')}/_manifest.json".replace("file:", "")
-    if not os.path.exists(path):
-        return spark.createDataFrame([], LISTING_SCHEMA)
-    with open(path, encoding="utf-8") as fh:
-        manifest = json.load(fh)
+    """Q13: read the run named by the latest manifest; a dataset filter prunes
+    to one partition directory."""
+    manifest = latest_manifest(spark, root)
+    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("rank", T.LongType()), T.StructField("dataset", T.StringType())])
+    if manifest is None:
+        return spark.createDataFrame([], schema)
     if manifest.get("schema_version") != SCHEMA_VERSION:
         raise ValueError("unsupported schema_version")
-    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("rank", T.LongType()), T.StructField("dataset", T.StringType())])
-    df = spark.read.schema(schema).json(f"{root.rstrip('/')}/{manifest['run']}")
+    df = spark.read.schema(schema).json(f"{root.rstrip('/')}/runs/{manifest['run']}")
     return df.where(F.col("dataset") == dataset) if dataset else df
