@@ -12,7 +12,9 @@ FAST = ["status_for", "parse_iso_date", "months_ago", "partition_dataset", "data
         "match_key", "stable_id", "summary_contract", "dedupe_key", "normalize_listing", "score_reasons", "date_range_text",
         "exact_dup_edges", "dedupe_components", "identity_keys", "match_exact_id", "personal_restore", "failure_streak",
         "source_health", "type_tab_counts", "quick_tag_counts", "sort_relevance", "display_rows", "exclude_listings",
-        "carry_forward", "source_counts"]
+        "carry_forward", "source_counts", "match_weak_keys", "reconcile_history", "new_changed_counts", "apply_patches",
+        "force_decisions", "manual_union", "first_sentence", "run_statuses", "short_dates", "feed_quota", "toggle_stream",
+        "listing_json_roundtrip", "snapshot_write_read"]
 
 
 def canon(v):
