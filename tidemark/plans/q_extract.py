@@ -99,3 +99,37 @@ def q_empty_source_guard(spark, sf):
     j = sel.select("source_id").join(n, "source_id", "left")
     c = F.coalesce("c", F.lit(0))
     return j.select("source_id", c.cast("bigint").alias("collected"), F.when(c == 0, "failed").otherwise("success").alias("status"))
+
+
+def _resolve_sql(base: str, href: str) -> str:
+    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)"
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
+    base_dir = f"regexp_extract({base}, '^([^?#]*/)', 1)"
+    return (f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {href} "
+            f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
+            f"WHEN starts_with({href}, '/') THEN {origin} || {href} ELSE {base_dir} || {href} END")
+
+
+ANCHOR_SQL = extract.ANCHOR_RE
+
+
+def _unescape_sql(e: str) -> str:
+    from tidemark.functions.text import HTML_ENTITIES
+    out = e
+    for ent, ch in HTML_ENTITIES:
+        out = f"replace({out}, {sg.q(ent)}, {sg.q(ch)})"
+    return out
+
+
+@register("detail_fallback_join", f"""
+WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, {sg.q(ANCHOR_SQL)})) AS a,
+                  unnest(range(len(regexp_extract_all(html, {sg.q(ANCHOR_SQL)})))) AS pos FROM pages),
+b AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {_resolve_sql('url', "regexp_extract(a, " + sg.q(ANCHOR_SQL) + ", 1)")} AS link,
+             {sg.collapse(_unescape_sql("regexp_extract(a, " + sg.q(ANCHOR_SQL) + ", 2)"))} AS text FROM a),
+d AS (SELECT url AS link, any_value({sg.collapse(_unescape_sql("regexp_extract(html, " + sg.q(extract.TITLE_TAG) + ", 1)"))}) AS d_title FROM pages GROUP BY url)
+SELECT b.page_id, b.pos, b.link, d.d_title IS NOT NULL AS has_detail, coalesce(d.d_title, b.text) AS title,
+       CASE WHEN d.d_title IS NULL THEN {sg.q(tx.DETAIL_DEFAULT)} END AS summary
+FROM b LEFT JOIN d USING (link)""")
+def q_detail_fallback_join(spark, sf):
+    p = table(spark, sf, "pages")
+    return extract.detail_fallback_join(p, p).select("page_id", F.col("pos").cast("int").alias("pos"), "link", "has_detail", "title", "summary")
