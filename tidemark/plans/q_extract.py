@@ -22,10 +22,46 @@ def q_page_parse(spark, sf):
                     F.length("text").alias("text_len"), F.md5("text").alias("text_md5"), "title")
 
 
-@register("link_candidates")
+def _resolve_sql(base: str, href: str) -> str:
+    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)"
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
+    base_dir = f"regexp_extract({base}, '^([^?#]*/)', 1)"
+    return (f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {href} "
+            f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
+            f"WHEN starts_with({href}, '/') THEN {origin} || {href} ELSE {base_dir} || {href} END")
+
+
+ANCHOR_SQL = extract.ANCHOR_RE
+
+
+def _unescape_sql(e: str) -> str:
+    from tidemark.functions.text import HTML_ENTITIES
+    out = e
+    for ent, ch in HTML_ENTITIES:
+        out = f"replace({out}, {sg.q(ent)}, {sg.q(ch)})"
+    return out
+
+
+def _link_candidates_sql() -> str:
+    host = "regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)"
+    words = " OR ".join(f"contains(lower(text), {sg.q(w)})" for w in extract.OPPORTUNITY_WORDS)
+    nav = " OR ".join(f"contains(text, {sg.q(p)})" for p in extract.NAVIGATION_PHRASES)
+    return f"""
+WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, {sg.q(ANCHOR_SQL)})) AS a,
+                  unnest(range(len(regexp_extract_all(html, {sg.q(ANCHOR_SQL)})))) AS pos FROM pages),
+b AS (SELECT page_id, url, pos, {_resolve_sql('url', "regexp_extract(a, " + sg.q(ANCHOR_SQL) + ", 1)")} AS link,
+             {sg.collapse(_unescape_sql("regexp_extract(a, " + sg.q(ANCHOR_SQL) + ", 2)"))} AS text FROM a),
+c AS (SELECT * FROM b WHERE {host.format(u='link')} = {host.format(u='url')} AND length(text) >= 8 AND ({words}) AND NOT ({nav})
+        AND regexp_replace(link, '/+$', '') <> regexp_replace(url, '/+$', '')),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY pos) AS rn FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE rn = 1)
+SELECT page_id, link, text, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 500"""
+
+
+@register("link_candidates", _link_candidates_sql())
 def q_link_candidates(spark, sf):
     """Listing-link candidates per page."""
-    return extract.link_candidates(text_table(spark, sf, "pages"))
+    return extract.link_candidates(text_table(spark, sf, "pages")).select("page_id", "link", "text", F.col("rank").cast("int"))
 
 
 @register("page_detail")
@@ -101,26 +137,6 @@ def q_empty_source_guard(spark, sf):
     return j.select("source_id", c.cast("bigint").alias("collected"), F.when(c == 0, "failed").otherwise("success").alias("status"))
 
 
-def _resolve_sql(base: str, href: str) -> str:
-    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)"
-    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
-    base_dir = f"regexp_extract({base}, '^([^?#]*/)', 1)"
-    return (f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {href} "
-            f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
-            f"WHEN starts_with({href}, '/') THEN {origin} || {href} ELSE {base_dir} || {href} END")
-
-
-ANCHOR_SQL = extract.ANCHOR_RE
-
-
-def _unescape_sql(e: str) -> str:
-    from tidemark.functions.text import HTML_ENTITIES
-    out = e
-    for ent, ch in HTML_ENTITIES:
-        out = f"replace({out}, {sg.q(ent)}, {sg.q(ch)})"
-    return out
-
-
 @register("detail_fallback_join", f"""
 WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, {sg.q(ANCHOR_SQL)})) AS a,
                   unnest(range(len(regexp_extract_all(html, {sg.q(ANCHOR_SQL)})))) AS pos FROM pages),
