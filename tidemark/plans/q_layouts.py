@@ -143,3 +143,66 @@ def q_feed_quota(spark, sf):
     ev = li.where(F.col("l_returnflag") != "R")
     out = ly.feed_quota(sup, ev, FEED_LIMIT, ["k", "n"])
     return out.select("source_id", "source_post_id", F.col("feed_ord").cast("int").alias("feed_ord"))
+
+
+# ---- X15 on notice-table pages that Spark derives from orders (one page per
+# order; every third page also carries a malformed short row)
+NOTICE_PAGE = {
+    "page_id": "o_orderkey",
+    "url": "concat('https://biz.example.org/list?keyword=K', CAST(o_custkey % 7 AS STRING))",
+    "html": ("concat('<table><tr class=\"r\"><td>', CAST(o_orderkey % 100 AS STRING), '</td><td>', o_orderpriority, '</td>', "
+             "'<td><a href=\"/sii/selectSIIA200Detail.do?pblancId=P', CAST(o_orderkey AS STRING), '&amp;x=1\">Notice ', "
+             "CAST(o_custkey AS STRING), ' &amp; <b>plan</b> 페이지 이동</a></td><td>', "
+             "CAST(year(o_orderdate) + 28 AS STRING), '.', CAST(month(o_orderdate) AS STRING), '.', CAST(o_orderkey % 31 + 1 AS STRING), "
+             "' ~ ', CAST(year(o_orderdate) + 28 AS STRING), '. ', CAST(o_orderkey % 13 AS STRING), '. 15', "
+             "'</td><td>-</td><td>', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('Org ', CAST(o_custkey % 11 AS STRING)) END, "
+             "'</td><td>x</td></tr>', CASE WHEN o_orderkey % 3 = 0 THEN '<tr><td><a href=\"/sii/selectSIIA200Detail.do?pblancId=Q\">s</a></td></tr>' ELSE '' END, "
+             "'</table>')"),
+}
+
+
+def _notice_pages_sql() -> str:
+    return "SELECT " + ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {n}" for n, e in NOTICE_PAGE.items()) + " FROM orders"
+
+
+def _notice_sql() -> str:
+    from tidemark.plans import sqlgen as sg
+    from tidemark.plans.q_listings import DATE_RE_SQL, _sql_ymd
+    row_re, cell_re, link_re = ly.ROW_RE, ly.CELL_RE, ly.BIZ_LINK
+
+    def strip(e):
+        un = e
+        from tidemark.functions.text import HTML_ENTITIES
+        for ent, ch in HTML_ENTITIES:
+            un = f"replace({un}, {sg.q(ent)}, {sg.q(ch)})"
+        tagless = f"regexp_replace({un}, '<[^>]+>', ' ', 'g')"
+        for ent, ch in HTML_ENTITIES:
+            tagless = f"replace({tagless}, {sg.q(ent)}, {sg.q(ch)})"
+        return sg.collapse(tagless)
+    period_dates = (f"list_filter(list_transform(list_slice(regexp_extract_all(period, {sg.q(DATE_RE_SQL)}), 1, 4), "
+                    f"lambda x: {_sql_ymd('x')}), lambda x: x IS NOT NULL)")
+    return f"""
+WITH pg AS ({_notice_pages_sql()}),
+rows_ AS (SELECT page_id, url, unnest(regexp_extract_all(html, {sg.q(row_re)}, 1)) AS body,
+                 unnest(range(len(regexp_extract_all(html, {sg.q(row_re)}, 1)))) AS pos FROM pg),
+cells AS (SELECT *, list_transform(regexp_extract_all(body, {sg.q(cell_re)}, 1), lambda c: {strip('c')}) AS cl FROM rows_
+          WHERE regexp_matches(body, {sg.q(link_re)})),
+sel AS (SELECT *, cl[2] AS category, cl[4] AS period, cl[6] AS organizer0 FROM cells WHERE len(cl) >= 7),
+dt AS (SELECT *, {period_dates} AS d,
+   'https://biz.example.org' || replace(regexp_extract(body, {sg.q(link_re)}, 1), '&amp;', '&') AS link FROM sel)
+SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(link, '[?&]pblancId=([^&#]*)', 1) AS source_post_id,
+  regexp_replace({strip("regexp_extract(body, " + sg.q(link_re) + ", 2)")}, {sg.q(sg.WS + '*페이지(?:로)?' + sg.WS + '*이동$')}, '') AS title,
+  CASE WHEN organizer0 <> '' THEN organizer0 ELSE {sg.q(SRC.name)} END AS organizer,
+  CASE WHEN len(d) >= 2 THEN d[1] END AS recruit_start, CASE WHEN len(d) = 1 THEN d[1] WHEN len(d) >= 2 THEN d[2] END AS recruit_end,
+  '기업마당 공개 지원사업 · ' || category || ' · 검색어 ' || regexp_extract(url, '[?&]keyword=([^&#]*)', 1) AS summary
+FROM dt"""
+
+
+def notice_pages(spark, sf):
+    return table(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, e in NOTICE_PAGE.items()])
+
+
+@register("notice_table_orders", _notice_sql())
+def q_notice_table_orders(spark, sf):
+    out = ly.notice_rows(notice_pages(spark, sf), SRC, "support", fx.NOW_ISO)
+    return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "title", "organizer", "recruit_start", "recruit_end", "summary")
