@@ -2,6 +2,8 @@
 SQL-checked forms of its rules on inputs Spark derives from the driver tables."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -206,3 +208,58 @@ def notice_pages(spark, sf):
 def q_notice_table_orders(spark, sf):
     out = ly.notice_rows(notice_pages(spark, sf), SRC, "support", fx.NOW_ISO)
     return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "title", "organizer", "recruit_start", "recruit_end", "summary")
+
+
+# ---- X19 on list pages derived from lineitem (one page per line item)
+LIST_PAGE = {
+    "page_id": "l_orderkey * 10 + l_linenumber",
+    "url": "'https://wev.example.org/list'",
+    "html": ("concat('<ul><li class=\"item\"><div class=\"tit\"><a href=\"?c=find&amp;gbn=view&amp;ix=', CAST(l_partkey AS STRING), '\">Part ', "
+             "CAST(l_partkey AS STRING), ' <i>contest</i></a></div><div class=\"sub-tit\">분야 : ', l_returnflag, '/', l_linestatus, '</div>', "
+             "'<div class=\"organ\">', CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE concat('Supp ', CAST(l_suppkey AS STRING)) END, '</div>', "
+             "'<div class=\"day\">', CASE WHEN l_linenumber % 3 = 0 THEN concat('D+', CAST(l_orderkey % 20 AS STRING)) "
+             "WHEN l_linenumber % 3 = 1 THEN concat('D-', CAST(l_partkey % 40 AS STRING)) ELSE '상시' END, '</div></li>', "
+             "CASE WHEN l_linenumber = 1 THEN '<li><div class=\"tit\"><a href=\"?gbn=view&amp;ix=0\">no meta</a></div></li>' ELSE '' END, '</ul>')"),
+}
+
+
+def _list_sql() -> str:
+    from tidemark.plans import sqlgen as sg
+    from tidemark.functions.text import HTML_ENTITIES
+
+    def strip(e):
+        un = e
+        for ent, ch in HTML_ENTITIES:
+            un = f"replace({un}, {sg.q(ent)}, {sg.q(ch)})"
+        tagless = f"regexp_replace({un}, '<[^>]+>', ' ', 'g')"
+        for ent, ch in HTML_ENTITIES:
+            tagless = f"replace({tagless}, {sg.q(ent)}, {sg.q(ch)})"
+        return sg.collapse(tagless)
+
+    def div(cls):
+        pat = r"""(?is)<div\s+class=["'][^"']*\b""" + re.escape(cls) + r"""\b[^"']*["'][^>]*>(.*?)</div>"""
+        return strip(f"regexp_extract(body, {sg.q(pat)}, 1)")
+    pages = "SELECT " + ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {n}" for n, e in LIST_PAGE.items()) + " FROM lineitem"
+    day = div("day")
+    cat = f"regexp_replace({div('sub-tit')}, {sg.q('^분야' + sg.WS + '*:' + sg.WS + '*')}, '')"
+    link = f"'https://wev.example.org/list' || replace(regexp_extract(body, {sg.q(ly.WEV_LINK)}, 1), '&amp;', '&')"
+    return f"""
+WITH pg AS ({pages}),
+rows_ AS (SELECT page_id, unnest(regexp_extract_all(html, {sg.q(ly.LI_RE)}, 1)) AS body,
+                 unnest(range(len(regexp_extract_all(html, {sg.q(ly.LI_RE)}, 1)))) AS pos FROM pg),
+sel AS (SELECT *, {day} AS day_t, {cat} AS cat, {div('organ')} AS organ, {link} AS link FROM rows_
+        WHERE regexp_matches(body, {sg.q(ly.WEV_LINK)}) AND contains(body, 'sub-tit') AND contains(body, 'organ'))
+SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(link, '[?&]ix=([^&#]*)', 1) AS source_post_id,
+  {strip("regexp_extract(body, " + sg.q(ly.WEV_LINK) + ", 2)")} AS title,
+  CASE WHEN organ <> '' THEN organ ELSE {sg.q(SRC.name)} END AS organizer,
+  CASE WHEN regexp_matches(day_t, '(?i)D-[0-9]+') THEN CAST(DATE '{RUN_DATE}' + CAST(regexp_extract(day_t, '(?i)D-([0-9]+)', 1) AS INT) AS VARCHAR)
+       WHEN regexp_matches(day_t, '(?i)D\\+[0-9]+') THEN CAST(DATE '{RUN_DATE}' - CAST(regexp_extract(day_t, '(?i)D\\+([0-9]+)', 1) AS INT) AS VARCHAR) END AS recruit_end,
+  cat AS original_category
+FROM sel"""
+
+
+@register("list_layout_lineitem", _list_sql())
+def q_list_layout_lineitem(spark, sf):
+    pages = table(spark, sf, "lineitem").select(*[F.expr(e).alias(n) for n, e in LIST_PAGE.items()])
+    out = ly.category_list(pages, SRC, RUN_DATE, fx.NOW_ISO)
+    return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "title", "organizer", "recruit_end", "original_category")
