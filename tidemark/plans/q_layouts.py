@@ -263,3 +263,59 @@ def q_list_layout_lineitem(spark, sf):
     pages = table(spark, sf, "lineitem").select(*[F.expr(e).alias(n) for n, e in LIST_PAGE.items()])
     out = ly.category_list(pages, SRC, RUN_DATE, fx.NOW_ISO)
     return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "title", "organizer", "recruit_end", "original_category")
+
+
+def _strip_sql(e: str) -> str:
+    from tidemark.functions.text import HTML_ENTITIES
+    from tidemark.plans import sqlgen as sg
+    un = e
+    for ent, ch in HTML_ENTITIES:
+        un = f"replace({un}, {sg.q(ent)}, {sg.q(ch)})"
+    tagless = f"regexp_replace({un}, '<[^>]+>', ' ', 'g')"
+    for ent, ch in HTML_ENTITIES:
+        tagless = f"replace({tagless}, {sg.q(ent)}, {sg.q(ch)})"
+    return sg.collapse(tagless)
+
+
+def _pages_sql(spec: dict, source: str) -> str:
+    return "SELECT " + ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {n}" for n, e in spec.items()) + f" FROM {source}"
+
+
+# ---- X17 on support tables derived from part (short YY.MM.DD periods, some invalid)
+SUPPORT_PAGE = {
+    "page_id": "p_partkey",
+    "url": "'https://kocca.example.org/list'",
+    "html": ("concat('<table><tr><td>', p_brand, '</td><td><a href=\"/kocca/pims/view.do?intcNo=', CAST(p_partkey AS STRING), "
+             "'&amp;menuNo=1\">', p_name, '</a></td><td>', lpad(CAST(p_size % 30 AS STRING), 2, '0'), '.', CAST(p_partkey % 14 AS STRING), '.', "
+             "CAST(p_partkey % 32 AS STRING), ' ~ ', lpad(CAST(p_size % 30 + 1 AS STRING), 2, '0'), '.0', CAST(p_partkey % 9 + 1 AS STRING), '.28', "
+             "'</td><td>open</td></tr>', CASE WHEN p_partkey % 4 = 0 THEN '<tr><td><a href=\"/kocca/pims/view.do?intcNo=0\">x</a></td><td>y</td></tr>' ELSE '' END, "
+             "'</table>')"),
+}
+
+
+def _support_sql() -> str:
+    from tidemark.plans import sqlgen as sg
+    short = r"(^|[^0-9])([0-9]{2})\.([0-9]{1,2})\.([0-9]{1,2})([^0-9]|$)"
+    dates = (f"list_filter(list_transform(regexp_extract_all(cl[len(cl) - 1], '[0-9]+\\.[0-9]+\\.[0-9]+'), lambda x: CASE WHEN "
+             f"regexp_matches(x, '^[0-9]{{2}}\\.[0-9]{{1,2}}\\.[0-9]{{1,2}}$') THEN CAST(CAST(try_strptime('20' || split_part(x, '.', 1) || '-' || "
+             f"lpad(split_part(x, '.', 2), 2, '0') || '-' || lpad(split_part(x, '.', 3), 2, '0'), '%Y-%m-%d') AS DATE) AS VARCHAR) END), lambda x: x IS NOT NULL)")
+    del short
+    return f"""
+WITH pg AS ({_pages_sql(SUPPORT_PAGE, 'part')}),
+rows_ AS (SELECT page_id, unnest(regexp_extract_all(html, {sg.q(ly.ROW_RE)}, 1)) AS body,
+                 unnest(range(len(regexp_extract_all(html, {sg.q(ly.ROW_RE)}, 1)))) AS pos FROM pg),
+c AS (SELECT *, list_transform(regexp_extract_all(body, {sg.q(ly.CELL_RE)}, 1), lambda x: {_strip_sql('x')}) AS cl FROM rows_
+      WHERE regexp_matches(body, {sg.q(ly.KOCCA_LINK)})),
+d AS (SELECT *, {dates} AS p FROM c WHERE len(cl) >= 4)
+SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(replace(regexp_extract(body, {sg.q(ly.KOCCA_LINK)}, 1), '&amp;', '&'), '[?&]intcNo=([^&#]*)', 1) AS source_post_id,
+  {_strip_sql("regexp_extract(body, " + sg.q(ly.KOCCA_LINK) + ", 2)")} AS title, p[1] AS recruit_start,
+  CASE WHEN len(p) > 1 THEN p[2] ELSE p[1] END AS recruit_end,
+  regexp_replace('디지털 콘텐츠 · ' || cl[1], '^[ ·]+|[ ·]+$', '', 'g') AS original_category
+FROM d"""
+
+
+@register("support_table_part", _support_sql())
+def q_support_table_part(spark, sf):
+    pages = table(spark, sf, "part").select(*[F.expr(e).alias(n) for n, e in SUPPORT_PAGE.items()])
+    out = ly.support_table(pages, SRC, fx.NOW_ISO)
+    return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "title", "recruit_start", "recruit_end", "original_category")
