@@ -319,3 +319,39 @@ def q_support_table_part(spark, sf):
     pages = table(spark, sf, "part").select(*[F.expr(e).alias(n) for n, e in SUPPORT_PAGE.items()])
     out = ly.support_table(pages, SRC, fx.NOW_ISO)
     return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "title", "recruit_start", "recruit_end", "original_category")
+
+
+# ---- X21 on notice tables derived from customer (date range in the row text)
+RANGE_PAGE = {
+    "page_id": "c_custkey",
+    "url": "'https://nipa.example.org/home/2-2'",
+    "html": ("concat('<table><tr><td>', CAST(c_custkey % 50 AS STRING), '</td><td><a href=\"/home/2-2/', CAST(c_custkey AS STRING), '\">', "
+             "c_name, ' <span>', c_mktsegment, '</span></a></td><td>', CAST(2020 + c_nationkey % 8 AS STRING), '-', "
+             "CAST(c_custkey % 12 + 1 AS STRING), '-', CAST(c_custkey % 30 + 1 AS STRING), ' ~ ', CAST(2021 + c_nationkey % 8 AS STRING), '/', "
+             "CAST(c_custkey % 15 AS STRING), '/', CAST(c_custkey % 29 + 3 AS STRING), '</td></tr><tr><td>no link</td></tr></table>')"),
+}
+
+
+def _range_sql() -> str:
+    from tidemark.plans import sqlgen as sg
+    from tidemark.plans.q_listings import DATE_RE_SQL, _sql_ymd
+    dates = (f"list_filter(list_transform(list_slice(regexp_extract_all(t, {sg.q(DATE_RE_SQL)}), 1, 4), lambda x: {_sql_ymd('x')}), "
+             f"lambda x: x IS NOT NULL)")
+    return f"""
+WITH pg AS ({_pages_sql(RANGE_PAGE, 'customer')}),
+rows_ AS (SELECT page_id, unnest(regexp_extract_all(html, {sg.q(ly.ROW_RE)}, 1)) AS body,
+                 unnest(range(len(regexp_extract_all(html, {sg.q(ly.ROW_RE)}, 1)))) AS pos FROM pg),
+s AS (SELECT *, {_strip_sql('body')} AS t FROM rows_ WHERE regexp_matches(body, {sg.q(ly.NIPA_LINK)})),
+d AS (SELECT *, {dates} AS dl FROM s)
+SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(body, {sg.q(ly.NIPA_LINK)}, 2) AS source_post_id,
+  'https://nipa.example.org' || regexp_extract(body, {sg.q(ly.NIPA_LINK)}, 1) AS source_url,
+  {_strip_sql("regexp_extract(body, " + sg.q(ly.NIPA_LINK) + ", 3)")} AS title,
+  CASE WHEN len(dl) >= 2 THEN dl[1] END AS recruit_start, CASE WHEN len(dl) = 1 THEN dl[1] WHEN len(dl) >= 2 THEN dl[2] END AS recruit_end
+FROM d"""
+
+
+@register("range_table_customer", _range_sql())
+def q_range_table_customer(spark, sf):
+    pages = table(spark, sf, "customer").select(*[F.expr(e).alias(n) for n, e in RANGE_PAGE.items()])
+    out = ly.text_range_table(pages, SRC, fx.NOW_ISO)
+    return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "source_url", "title", "recruit_start", "recruit_end")
