@@ -14,7 +14,8 @@ FAST = ["status_for", "parse_iso_date", "months_ago", "partition_dataset", "data
         "source_health", "type_tab_counts", "quick_tag_counts", "sort_relevance", "display_rows", "exclude_listings",
         "carry_forward", "source_counts", "match_weak_keys", "reconcile_history", "new_changed_counts", "apply_patches",
         "force_decisions", "manual_union", "first_sentence", "run_statuses", "short_dates", "feed_quota", "toggle_stream",
-        "listing_json_roundtrip", "snapshot_write_read"]
+        "listing_json_roundtrip", "snapshot_write_read", "notice_table_orders", "list_layout_lineitem", "support_table_part",
+        "range_table_customer", "detail_fallback_join", "link_candidates"]
 
 
 def canon(v):
