@@ -15,7 +15,7 @@ FAST = ["status_for", "parse_iso_date", "months_ago", "partition_dataset", "data
         "carry_forward", "source_counts", "match_weak_keys", "reconcile_history", "new_changed_counts", "apply_patches",
         "force_decisions", "manual_union", "first_sentence", "run_statuses", "short_dates", "feed_quota", "toggle_stream",
         "listing_json_roundtrip", "snapshot_write_read", "notice_table_orders", "list_layout_lineitem", "support_table_part",
-        "range_table_customer", "detail_fallback_join", "link_candidates"]
+        "range_table_customer", "detail_fallback_join", "link_candidates", "dday_list_orders"]
 
 
 def canon(v):

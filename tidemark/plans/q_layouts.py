@@ -355,3 +355,34 @@ def q_range_table_customer(spark, sf):
     pages = table(spark, sf, "customer").select(*[F.expr(e).alias(n) for n, e in RANGE_PAGE.items()])
     out = ly.text_range_table(pages, SRC, fx.NOW_ISO)
     return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "source_url", "title", "recruit_start", "recruit_end")
+
+
+# ---- X18 on list pages derived from orders (items lacking D-n are dropped)
+DDAY_PAGE = {
+    "page_id": "o_orderkey",
+    "url": "'https://ks.example.org/list'",
+    "html": ("concat('<div><a href=\"javascript:go_view(', CAST(o_orderkey AS STRING), ');\" class=\"x\"><p class=\"tit\">Plan ', "
+             "o_orderpriority, ' <b>', CAST(o_custkey AS STRING), '</b></p><span>', "
+             "CASE WHEN o_orderkey % 4 = 0 THEN '상시' ELSE concat('D-', CAST(o_orderkey % 45 AS STRING)) END, '</span></a></div>')"),
+}
+
+
+def _dday_sql() -> str:
+    from tidemark.plans import sqlgen as sg
+    base = ly._placeholder_url(SRC.list_url, schM="view", pbancSn="__ID__")
+    return f"""
+WITH pg AS ({_pages_sql(DDAY_PAGE, 'orders')}),
+it AS (SELECT page_id, unnest(regexp_extract_all(html, {sg.q(ly.KS_ITEM)}, 0)) AS a,
+              unnest(range(len(regexp_extract_all(html, {sg.q(ly.KS_ITEM)}, 0)))) AS pos FROM pg),
+b AS (SELECT *, regexp_extract(a, {sg.q(ly.KS_ITEM)}, 1) AS pid, regexp_extract(a, {sg.q(ly.KS_ITEM)}, 2) AS body FROM it)
+SELECT page_id, CAST(pos AS BIGINT) AS pos, pid AS source_post_id, replace({sg.q(base)}, '__ID__', pid) AS source_url,
+  {_strip_sql("regexp_extract(body, " + sg.q(ly.KS_TITLE) + ", 1)")} AS title,
+  CAST(DATE '{RUN_DATE}' + CAST(regexp_extract(body, '(?i)D-([0-9]+)', 1) AS INT) AS VARCHAR) AS recruit_end
+FROM b WHERE regexp_matches(body, {sg.q(ly.KS_TITLE)}) AND regexp_matches(body, '(?i)D-[0-9]+')"""
+
+
+@register("dday_list_orders", _dday_sql())
+def q_dday_list_orders(spark, sf):
+    pages = table(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, e in DDAY_PAGE.items()])
+    out = ly.dday_list(pages, SRC, RUN_DATE, fx.NOW_ISO)
+    return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "source_url", "title", "recruit_end")
