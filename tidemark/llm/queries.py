@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, language, lines, minhash, toxicity, urls
+from tidemark.llm import chat, embeddings, language, lines, minhash, toxicity, urls
 from tidemark.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ WITH cut AS (
 )
 SELECT page_id, host, path, {_url_cases(0)} AS rule, {_url_cases(1)} AS verdict FROM parts
 """
+
+
+@query
+def op4_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
