@@ -14,14 +14,17 @@ connected component of links, and its smallest ``doc_id`` stays.
    that agree by chance; far pairs are dropped before any text is touched.
 4. Remaining pairs are confirmed on the full sets.
 
-No bucket is expanded into all its pairs. In the first rounds each bucket links
-its members to one pivot, and confirmed links merge them into components; only
-buckets that then still hold several components compare members, across
-components, in a join whose condition is the estimate. So a group of thousands
-of copies costs a number of pairs in proportion to its size.
+No bucket is expanded into all its pairs. In the first rounds each bucket
+proposes one pair per member: with the bucket's pivot, then with neighbours in
+a random order (dealt into small sub-buckets), and confirmed links merge
+components. Only buckets that then still hold several components compare
+members, across components, in a join whose condition is an estimate from a
+longer signature (``FINE`` hashes, made for those members only). So a group of
+thousands of copies costs a number of pairs in proportion to its size, and no
+link between components is left out.
 
 A pair at the link threshold shares a band with probability 1 - 4e-7 and passes
-the estimate with probability above 1 - 1e-7.
+either estimate with probability above 1 - 1e-7.
 
 Defined results: null, empty and blank texts have an empty set, link with
 nothing and stay; rows with a null ``doc_id`` likewise; rows that repeat a
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import saved
@@ -48,12 +51,15 @@ BITS = 2
 BANDS, ROWS = 25, 5
 LINK = 85             # hundredths
 ESTIMATE = 0.65       # pairs estimated below are not confirmed; 5.5 standard deviations under LINK
-STAR_ROUNDS = 2
+FINE = 1024
+FINE_ESTIMATE = 0.777  # likewise for the long signature
+CHAIN_ROUNDS = 2
+CHAIN_ROWS = 256      # members of a sub-bucket, about
 
 _RNG = np.random.default_rng(715517)
 _ORDER = _RNG.integers(0, 1 << 63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_MULT = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _RNG.integers(0, 1 << 32, HASHES + FINE, dtype=np.uint32)
+_MULT = _RNG.integers(0, 1 << 31, HASHES + FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND = _RNG.integers(0, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -74,17 +80,17 @@ def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), first
 
 
-def minima(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have shingles, and their (rows, HASHES) 32-bit minima."""
+def minima(h: np.ndarray, first: np.ndarray, hashes: range = range(HASHES)) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have shingles, and their (rows, hashes) 32-bit minima."""
     rows = np.flatnonzero(np.diff(first) > 0)
-    out = np.empty((len(rows), HASHES), np.uint32)
+    out = np.empty((len(rows), len(hashes)), np.uint32)
     if len(rows):
         low = (h >> np.uint64(32)).astype(np.uint32)
         work = np.empty_like(low)
-        for k in range(HASHES):
+        for at, k in enumerate(hashes):
             np.bitwise_xor(low, _FLIP[k], out=work)
             np.multiply(work, _MULT[k], out=work)
-            out[:, k] = np.minimum.reduceat(work, first[rows])
+            out[:, at] = np.minimum.reduceat(work, first[rows])
     return rows, out
 
 
@@ -105,9 +111,15 @@ def _sets(b: Bytes) -> list[np.ndarray]:
     return [np.unique(h[first[i]:first[i + 1]]) for i in range(len(first) - 1)]
 
 
+def _lists(values: np.ndarray, has: np.ndarray) -> pa.Array:
+    """The rows of ``values`` as lists for the rows that ``has`` marks, else empty lists."""
+    ends = np.concatenate([[0], np.cumsum(np.where(has, values.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)))
+
+
 def signatures(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, sig, bands) per row; hi and lo are a 128-bit
-    digest of the set; sig and bands are null for an empty set."""
+    digest of the set; sig and bands are empty for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch.column("text")):
@@ -124,38 +136,45 @@ def signatures(documents: DataFrame) -> DataFrame:
                 size = np.zeros(len(b.start), bool)
                 size[rows] = True
 
-                def lists(values: np.ndarray, size: np.ndarray = size) -> pa.Array:
-                    ends = np.concatenate([[0], np.cumsum(np.where(size, values.shape[1], 0))]).astype(np.int32)
-                    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)))
-
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(b.lo, b.hi - b.lo), pa.array(count), pa.array(pair[:, 0]), pa.array(pair[:, 1]),
-                     lists(pack(mins)), lists(band_keys(mins))], ["doc_id", "n_shingles", "hi", "lo", "sig", "bands"])
+                     _lists(pack(mins), size), _lists(band_keys(mins), size)], ["doc_id", "n_shingles", "hi", "lo", "sig", "bands"])
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, sig array<bigint>, bands array<bigint>")
 
 
-def agreeing(a: str, b: str) -> Column:
-    """Number of equal values in two packed signatures."""
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """(rep, sig): long signatures of (doc_id, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch.column("text")):
+                rows, mins = minima(*shingles(words(b)), range(HASHES, HASHES + FINE))
+                ids = batch.column("doc_id").slice(b.lo, b.hi - b.lo).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([ids, _lists(pack(mins), np.ones(len(rows), bool))], ["rep", "sig"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, sig array<bigint>")
+
+
+def estimate(a: str, b: str, hashes: int = HASHES) -> Column:
+    """Similarity from the number of equal values in two packed signatures,
+    corrected for values that agree by chance."""
     mask = int("5" * 16, 16)
-    differ = F.lit(0)
-    for k in range(HASHES * BITS // 64):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(mask)))
-    return F.lit(HASHES) - differ
 
+    def differing(x: Column) -> Column:
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(mask)))
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity estimate, corrected for values that agree by chance."""
+    differ = F.lit(0)
+    for k in range(hashes * BITS // 64):
+        differ = differ + differing(F.col(a)[k].bitwiseXOR(F.col(b)[k]))
     chance = 1 / (1 << BITS)
-    return (agreeing(a, b) / F.lit(float(HASHES)) - F.lit(chance)) / F.lit(1 - chance)
+    return (F.lit(1 - chance) - differ / F.lit(float(hashes))) / F.lit(1 - chance)
 
 
-def _near(link: int) -> Column:
+def _near(link: int, hashes: int = HASHES, least: float = ESTIMATE) -> Column:
     """Sizes and signatures that allow a link between rows with suffixes _a, _b."""
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * link
-    return sizes & (estimate("sig_a", "sig_b") >= F.lit(ESTIMATE - (LINK - link) / 100))
+    return sizes & (estimate("sig_a", "sig_b", hashes) >= F.lit(least - (LINK - link) / 100))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, link: int = LINK) -> DataFrame:
@@ -202,23 +221,30 @@ def near_duplicates(documents: DataFrame, link: int = LINK) -> DataFrame:
     side = lambda x: facts.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     labels = members.select("rep", F.col("rep").alias("label"))
     tried = None
-    for k in range(STAR_ROUNDS + 1):
+    for k in range(CHAIN_ROUNDS + 2):
         here = buckets.join(labels, "rep")
-        if k < STAR_ROUNDS:
-            pick = F.min if k % 2 == 0 else F.max
-            pivots = here.groupBy("key").agg(pick(F.struct("label", "rep")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
-            pivots = pivots.where(F.col("low") < F.col("high")).select("key", "p")
-            pairs = (here.join(pivots, "key").where(F.col("label") != F.col("p.label"))
-                     .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"),
-                             F.least("label", "p.label").alias("la"), F.greatest("label", "p.label").alias("lb")).distinct())
+        ends = here.groupBy("key").agg(F.min(F.struct("label", "rep")).alias("p"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+        live = here.join(ends.where(F.col("p.label") < F.col("high")), "key")   # buckets of several components
+        if k == 0:
+            pairs = live.select("rep", "label", F.col("p.rep").alias("other"), F.col("p.label").alias("other_label"))
+        elif k <= CHAIN_ROUNDS:
+            salt = F.pmod(F.xxhash64("rep", F.lit(-k)), F.ceil(F.col("size") / F.lit(CHAIN_ROWS)))
+            chain = Window.partitionBy("key", "salt").orderBy(F.xxhash64("rep", F.lit(k)), "rep")
+            pairs = live.withColumn("salt", salt).select(
+                "rep", "label", F.lead("rep").over(chain).alias("other"), F.lead("label").over(chain).alias("other_label"))
+        if k <= CHAIN_ROUNDS:
+            pairs = pairs.where(F.col("label") != F.col("other_label")).select(
+                F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"),
+                F.least("label", "other_label").alias("la"), F.greatest("label", "other_label").alias("lb")).distinct()
             pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(link)).select("a", "b", "la", "lb")
         else:
-            live = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high"))
-            wide = here.join(live.select("key"), "key", "left_semi").join(facts, "rep")
+            left = saved(live.select("rep").distinct(), "left")
+            fine = saved(fine_signatures(texts.join(left.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).join(facts.select("rep", "n"), "rep"), "fine")
+            wide = live.select("key", "rep", "label").join(fine, "rep")
             one = wide.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
             two = wide.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-            pairs = (one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near(link))
-                     .select("a", "b", "la", "lb").distinct())
+            pairs = (one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+                              & _near(link, FINE, FINE_ESTIMATE)).select("a", "b", "la", "lb").distinct())
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, f"pairs-{k}")
