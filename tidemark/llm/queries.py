@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, embeddings, language, lines, minhash, toxicity, urls
+from tidemark.llm import chat, embeddings, language, lines, minhash, pieces, toxicity, urls
 from tidemark.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,11 @@ SELECT page_id, host, path, {_url_cases(0)} AS rule, {_url_cases(1)} AS verdict
 @query
 def op4_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                      (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), digest("decoded").alias("decoded_sha256"))
