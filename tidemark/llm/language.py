@@ -209,17 +209,18 @@ def decide(labels: np.ndarray, weight: np.ndarray, first: np.ndarray, k: int) ->
 def training_rows(documents: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
     """At most ``per_lang`` documents of each language that are not held out,
     chosen by a hash of the id."""
-    known = documents.select("doc_id", "lang", "text").where(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    known = documents.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()).distinct()
     langs = sorted(r[0] for r in known.select("lang").distinct().collect())   # one row per language
-    texts: list[str] = []
-    names: list[str] = []
-    for lang in langs:
-        ids = known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        rows = known.where(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").select("text").toPandas()
-        texts += sorted(rows["text"])
-        names += [lang] * len(rows)
-    return texts, names
+    picks = [known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang) for lang in langs]
+    if not picks:
+        return [], []
+    chosen = picks[0]
+    for pick in picks[1:]:
+        chosen = chosen.unionByName(pick)
+    # at most per_lang ids of each language
+    rows = documents.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").toPandas()
+    rows = rows.dropna(subset=["text"]).drop_duplicates().sort_values(["lang", "doc_id", "text"])
+    return list(rows["text"]), list(rows["lang"])
 
 
 def fit(documents: DataFrame, per_lang: int = PER_LANG) -> Model | None:

@@ -19,8 +19,8 @@ shuffled; the last joins are plain equi-joins that adaptive execution can split.
 
 Defined results: null and empty texts are one empty line; rows with a null
 ``doc_id`` take no part (they count for nothing and lose nothing); rows that
-repeat a ``doc_id`` count as one document; further columns pass through
-unchanged.
+repeat a ``doc_id`` count as one document; further columns pass through unchanged
+(those named like the columns made here are replaced).
 """
 from __future__ import annotations
 
@@ -204,7 +204,8 @@ def probe(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 def remove_lines(documents: DataFrame, drops: DataFrame) -> DataFrame:
     """``documents`` with ``text`` rewritten and ``n_lines``, ``n_dropped`` added.
     ``drops``: (doc_id, hi, lo) of the keys whose lines go from a document."""
-    names = documents.columns
+    names = [c for c in documents.columns if c not in ("n_lines", "n_dropped", "_id", "_drops")]
+    documents = documents.select(*names)
     lists = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("hi", "lo")).alias("_drops"))
     joined = documents.join(lists, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
 

@@ -22,7 +22,8 @@ Texts are not changed: a literal space mark (U+2581) is written as bytes, so
 decoding returns every text exactly.
 
 Defined results: null and empty texts have no pieces and decode to the empty
-text; rows are independent, repeated ids and further columns pass through.
+text; rows are independent, repeated ids and further columns pass through
+(those named like the columns made here are replaced).
 """
 from __future__ import annotations
 
@@ -410,7 +411,8 @@ def encode(documents: DataFrame, model: str = MODEL, giant: int = GIANT, chunk:
     """``documents`` with ``ids`` (array<int>) added, from the whole ``text``."""
     spark = documents.sparkSession
     v = spark.sparkContext.broadcast(Vocabulary.load(model))
-    names = documents.columns
+    names = [c for c in documents.columns if c not in ("ids", "_ids", "_row")]
+    documents = documents.select(*names)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", ids array<int>"
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +443,8 @@ def decode(encoded: DataFrame, model: str = MODEL, column: str = "decoded") -> D
     """``encoded`` with the text that its ``ids`` stand for in ``column``."""
     spark = encoded.sparkSession
     v = spark.sparkContext.broadcast(Vocabulary.load(model))
-    names = encoded.columns
+    names = [c for c in encoded.columns if c != column]
+    encoded = encoded.select(*names)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{column}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
