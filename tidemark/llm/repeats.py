@@ -42,11 +42,13 @@ from tidemark.llm.store import saved
 from tidemark.llm.text import Bytes, prefix_hash, slices, span_hash
 
 LENGTH = 200
-ANCHOR = 32
+ANCHOR = 64
 GROUP = 256               # segments of an anchor that one batch may hold together
-BATCH_BYTES = 1 << 20     # text of a batch, about
+BATCH_BYTES = 1 << 17     # text of a batch, about; its arrays stay in the cache
 BROADCAST_ROWS = 1 << 20  # repeated anchors that are broadcast (8 MB of keys); more are joined by shuffle
 GRID = (64, 16, 4, 1)
+WORD = 7                  # symbols of nine bits in a 64-bit word
+SLICE = 1 << 16            # text scanned at a time; likewise
 PIECE = 8 << 20           # longer texts are scanned in overlapping pieces
 
 
@@ -105,7 +107,7 @@ def scan(documents: DataFrame, length: int, anchor: int, only_keys: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch.column("text")):
+            for b in slices(batch.column("text"), SLICE):
                 for part, shift in _pieces(b, length):
                     s = segments(part, length, anchor)
                     if only_keys:
@@ -143,33 +145,39 @@ class RunIndex:
         self.runs = int(self.head.sum())
 
     def _suffix_order(self, longest: int) -> np.ndarray:
-        """Prefix doubling from eight-byte words; ranks are kept for comparisons."""
+        """Prefix doubling from words of seven symbols; ranks are kept for
+        comparisons. A terminator is below every byte, and terminators are in
+        the order of the strings."""
         n = self.n
-        pad = np.concatenate([self.text, np.zeros(8, np.uint8)]).astype(np.uint64)
+        pad = np.concatenate([np.where(self.stop, 0, self.text.astype(np.uint64) + 1), np.zeros(WORD, np.uint64)]).astype(np.uint64)
         word = np.zeros(n, np.uint64)
         ended = np.zeros(n, bool)    # the word has met the terminator
-        gone = np.concatenate([self.stop, np.ones(8, bool)])
-        for k in range(8):
-            word = (word << np.uint64(8)) | np.where(ended, np.uint64(0), pad[k:k + n])
+        gone = np.concatenate([self.stop, np.ones(WORD, bool)])
+        for k in range(WORD):
+            word = (word << np.uint64(9)) | np.where(ended, np.uint64(0), pad[k:k + n])
             ended |= gone[k:k + n]
         order = np.argsort(word, kind="stable")
         w, e = word[order], ended[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = (w[1:] != w[:-1]) | e[1:] | e[:-1]
+        fresh = np.ones(n + 1, bool)    # a new rank begins; what has met its terminator stands alone
+        fresh[1:n] = (w[1:] != w[:-1]) | e[1:] | e[:-1]
+        places = np.arange(n)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        width = 8
-        self.levels.append((width, rank))
-        while width < longest and rank[order[-1]] < n - 1:
-            ahead = np.concatenate([rank[width:], np.zeros(min(width, n), np.int64)])[:n]
-            key = rank * np.int64(n) + ahead
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            fresh[1:] = k[1:] != k[:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(fresh) - 1
+        rank[order] = np.maximum.accumulate(np.where(fresh[:n], places, 0))
+        width = WORD
+        self.levels.append((width, rank.copy()))
+        while width < longest:
+            tied = np.flatnonzero(~(fresh[:n] & fresh[1:]))    # only ranks of several suffixes are sorted on
+            if not len(tied):
+                break
+            at = order[tied]
+            key = rank[at] * np.int64(n) + rank[np.minimum(at + width, n - 1)]
+            new = np.argsort(key)
+            key = key[new]
+            order[tied] = at[new]
+            fresh[tied[1:]] |= key[1:] != key[:-1]
+            rank[order[tied]] = np.maximum.accumulate(np.where(fresh[:n], places, 0))[tied]
             width *= 2
-            self.levels.append((width, rank))
+            self.levels.append((width, rank.copy()))
         return order
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,7 +187,7 @@ class RunIndex:
             x, y = np.minimum(a + got, self.n - 1), np.minimum(b + got, self.n - 1)
             got += np.where(rank[x] == rank[y], width, 0)
         live = np.ones(len(a), bool)
-        for _ in range(7):
+        for _ in range(WORD - 1):
             x, y = np.minimum(a + got, self.n - 1), np.minimum(b + got, self.n - 1)
             live &= (self.text[x] == self.text[y]) & ~self.stop[x] & ~self.stop[y]
             got += live
