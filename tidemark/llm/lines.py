@@ -176,7 +176,7 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shar
 
     def update(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"shard": pd.Series([], "int32"), "filter": pd.Series([], object)})
+            return pd.DataFrame({"shard": [], "filter": []})
         part = lambda keep: (rows["hi"].to_numpy()[keep], rows["lo"].to_numpy()[keep])
         change = rows["change"].to_numpy()
         f = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else None

@@ -201,7 +201,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 48,
     second = {k: np.zeros_like(a) for k, a in p.items()}
     sides = [np.flatnonzero(toxic == k) for k in (0, 1)]
     share_of = (2 * batch // 3, batch // 3)   # clean, toxic
-    steps = max(8, -(-len(texts) // batch))
+    steps = max(60, -(-len(texts) // batch))   # small samples are passed over more often
     total, step = 0, epochs * steps
     for _ in range(epochs):
         order = [rng.permutation(np.resize(s, steps * m)) for s, m in zip(sides, share_of, strict=True)]
