@@ -14,10 +14,9 @@ connected component of links, and its smallest ``doc_id`` stays.
    that agree by chance; far pairs are dropped before any text is touched.
 4. Remaining pairs are confirmed on the full sets.
 
-No bucket is expanded into all its pairs. In the first rounds each bucket
-proposes one pair per member: with the bucket's pivot, then with neighbours in
-a random order (dealt into small sub-buckets), and confirmed links merge
-components. Only buckets that then still hold several components compare
+No bucket is expanded into all its pairs. First each bucket proposes a few
+pairs per member: with the bucket's pivot, and with neighbours in random orders
+(dealt into small sub-buckets); confirmed links merge members into components. Only buckets that then still hold several components compare
 members, across components, in a join whose condition is an estimate from a
 longer signature (``FINE`` hashes, made for those members only). So a group of
 thousands of copies costs a number of pairs in proportion to its size, and no
@@ -53,7 +52,7 @@ LINK = 85             # hundredths
 ESTIMATE = 0.65       # pairs estimated below are not confirmed; 5.5 standard deviations under LINK
 FINE = 1024
 FINE_ESTIMATE = 0.777  # likewise for the long signature
-CHAIN_ROUNDS = 2
+CHAINS = 3
 CHAIN_ROWS = 256      # members of a sub-bucket, about
 
 _RNG = np.random.default_rng(715517)
@@ -219,39 +218,35 @@ def near_duplicates(documents: DataFrame, link: int = LINK) -> DataFrame:
     facts = saved(reps.join(members, "rep", "left_semi").select("rep", "n", "sig"), "facts")
     texts = saved(docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "texts")
     side = lambda x: facts.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    labels = members.select("rep", F.col("rep").alias("label"))
-    tried = None
-    for k in range(CHAIN_ROUNDS + 2):
-        here = buckets.join(labels, "rep")
-        ends = here.groupBy("key").agg(F.min(F.struct("label", "rep")).alias("p"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-        live = here.join(ends.where(F.col("p.label") < F.col("high")), "key")   # buckets of several components
-        if k == 0:
-            pairs = live.select("rep", "label", F.col("p.rep").alias("other"), F.col("p.label").alias("other_label"))
-        elif k <= CHAIN_ROUNDS:
-            salt = F.pmod(F.xxhash64("rep", F.lit(-k)), F.ceil(F.col("size") / F.lit(CHAIN_ROWS)))
-            chain = Window.partitionBy("key", "salt").orderBy(F.xxhash64("rep", F.lit(k)), "rep")
-            pairs = live.withColumn("salt", salt).select(
-                "rep", "label", F.lead("rep").over(chain).alias("other"), F.lead("label").over(chain).alias("other_label"))
-        if k <= CHAIN_ROUNDS:
-            pairs = pairs.where(F.col("label") != F.col("other_label")).select(
-                F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"),
-                F.least("label", "other_label").alias("la"), F.greatest("label", "other_label").alias("lb")).distinct()
-            pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(link)).select("a", "b", "la", "lb")
-        else:
-            left = saved(live.select("rep").distinct(), "left")
-            fine = saved(fine_signatures(texts.join(left.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).join(facts.select("rep", "n"), "rep"), "fine")
-            wide = live.select("key", "rep", "label").join(fine, "rep")
-            one = wide.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-            two = wide.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-            pairs = (one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                              & _near(link, FINE, FINE_ESTIMATE)).select("a", "b", "la", "lb").distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, f"pairs-{k}")
-        links = saved(confirm(pairs, texts, link).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(),
-                      f"links-{k}")
-        labels = saved(_relabel(labels, links), f"labels-{k}")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+    def settle(pairs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """Labels after confirming ``pairs`` (a, b, la, lb)."""
+        pairs = saved(pairs, f"{name}-pairs")
+        links = confirm(pairs, texts, link).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        return saved(_relabel(labels, saved(links, f"{name}-links")), f"{name}-labels")
+
+    # one pair per member: with the smallest of its bucket, and along chains in random orders
+    sizes = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size"))
+    here = buckets.join(sizes, "key")
+    pairs = here.select("rep", F.col("pivot").alias("other"))
+    for k in range(1, CHAINS + 1):
+        salt = F.pmod(F.xxhash64("rep", F.lit(-k)), F.ceil(F.col("size") / F.lit(CHAIN_ROWS)))
+        chain = Window.partitionBy("key", "salt").orderBy(F.xxhash64("rep", F.lit(k)), "rep")
+        pairs = pairs.unionByName(here.withColumn("salt", salt).select("rep", F.lead("rep").over(chain).alias("other")))
+    pairs = pairs.where(F.col("rep") != F.col("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(link)).select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
+    labels = settle(pairs, members.select("rep", F.col("rep").alias("label")), "near")
+
+    # all pairs of different components in the buckets that still hold several
+    here = buckets.join(labels, "rep")
+    mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("key")
+    live = saved(here.join(mixed, "key", "left_semi"), "live")
+    left = live.select(F.col("rep").alias("doc_id")).distinct()
+    fine = saved(fine_signatures(texts.join(left, "doc_id", "left_semi")).join(facts.select("rep", "n"), "rep"), "fine")
+    wide = live.join(fine, "rep")
+    one, two = (wide.select("key", F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    apart = (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+    pairs = one.join(two, apart & _near(link, FINE, FINE_ESTIMATE)).select("a", "b", "la", "lb").distinct()
+    labels = settle(pairs, labels, "last")
     groups = classes.join(labels, "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("component_id"))
     slim = sigs.select("doc_id", "n_shingles", "hi", "lo")
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
