@@ -291,7 +291,7 @@ def refine(segs: DataFrame, length: int) -> list[DataFrame]:
     rows = segs.select("key", "doc_id", "th", "start", "at", "open", "data", F.lit(0).cast("long").alias("lo"), F.col("windows").alias("hi"))
     shape = "key long, doc_id long, th long, start long, at long, open boolean, data binary, lo long, hi long, whole long, core long"
     found = []
-    for grid in GRID:
+    for grid in (g for g in GRID if 2 * g <= length or g == 1):    # a cut has a core only below the length
         def cut(batches: Iterator[pd.DataFrame], grid: int = grid) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 pdf["doc_id"] = pdf["doc_id"].astype("Int64")

@@ -120,17 +120,17 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, stack = None, Stack()
         for pdf in batches:
-            rows: list[tuple[str | None, str]] = []
-            is_url = pdf["kind"].to_numpy() == 1
-            for rng, key, url, host, path, verdict in zip(pdf["range"], pdf["key"], is_url, pdf["host"], pdf["path"], pdf["verdict"], strict=True):
+            rows = []
+            ids = pdf["page_id"].astype("Int64")
+            for rng, key, kind, page, host, path, verdict in zip(pdf["range"], pdf["key"], pdf["kind"], ids, pdf["host"], pdf["path"], pdf["verdict"], strict=True):
                 if rng != now:
                     now, stack = rng, Stack()
-                if url:
-                    rows.append(stack.match(key, path))
+                if kind:
+                    rows.append((None if page is pd.NA else page, host, path, *stack.match(key, path)))
                 else:
                     stack.open(key, host, path, verdict)
-            out = pdf.loc[is_url, ["page_id", "host", "path"]]
-            yield out.assign(rule=[r for r, _ in rows], verdict=[v for _, v in rows])
+            if rows:
+                yield pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict"]).astype({"page_id": "Int64"})
 
     merged = (dealt.unionByName(known).repartition("range")
               .sortWithinPartitions("range", "key", "kind", "page_id"))
