@@ -215,7 +215,7 @@ def near_duplicates(documents: DataFrame, link: int = LINK) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("rep").alias("one"), F.max("rep").alias("two")).where(F.col("one") < F.col("two"))
     buckets = saved(rows.join(shared.select("key"), "key", "left_semi"), "buckets")
     members = saved(buckets.select("rep").distinct(), "members")
-    facts = saved(reps.join(members, "rep", "left_semi").select("rep", "n", "sig"), "facts")
+    facts = saved(reps.join(members, "rep", "left_semi").select("rep", "n", "sig", "bands"), "facts")
     texts = saved(docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "texts")
     side = lambda x: facts.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     def settle(pairs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
@@ -241,11 +241,14 @@ def near_duplicates(documents: DataFrame, link: int = LINK) -> DataFrame:
     mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("key")
     live = saved(here.join(mixed, "key", "left_semi"), "live")
     left = live.select(F.col("rep").alias("doc_id")).distinct()
-    fine = saved(fine_signatures(texts.join(left, "doc_id", "left_semi")).join(facts.select("rep", "n"), "rep"), "fine")
+    fine = saved(fine_signatures(texts.join(left, "doc_id", "left_semi")).join(facts.select("rep", "n", "bands"), "rep"), "fine")
     wide = live.join(fine, "rep")
-    one, two = (wide.select("key", F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    one, two = (wide.select("key", F.col("rep").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("bands").alias(f"bands_{x}"))
+                for x in "ab")
     apart = (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-    pairs = one.join(two, apart & _near(link, FINE, FINE_ESTIMATE)).select("a", "b", "la", "lb").distinct()
+    # a pair that shares several bands is made in one of them
+    here_only = one["key"] == F.array_min(F.array_intersect("bands_a", "bands_b"))
+    pairs = one.join(two, apart & _near(link, FINE, FINE_ESTIMATE) & here_only).select("a", "b", "la", "lb").distinct()
     labels = settle(pairs, labels, "last")
     groups = classes.join(labels, "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("component_id"))
     slim = sigs.select("doc_id", "n_shingles", "hi", "lo")
