@@ -6,7 +6,6 @@ are computed once and referenced by the type, tag, score and reason columns.
 """
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass
 
@@ -37,7 +36,6 @@ def keyword_pattern(word: str) -> tuple[str, str] | None:
 
 TOKEN_SPLIT = "[^a-z0-9]+"
 SINGLE_TOKEN = re.compile(r"[a-z0-9]+")
-USE_TOKENS = os.environ.get("TIDEMARK_KEYWORD_TOKENS", "1") == "1"
 
 
 def keyword_hit(text: Column, word: str, tokens: Column | None = None) -> Column:
@@ -52,7 +50,7 @@ def keyword_hit(text: Column, word: str, tokens: Column | None = None) -> Column
         return F.lit(False)
     if kind[0] == "regex":
         needle = normalized(word)
-        if tokens is not None and USE_TOKENS and SINGLE_TOKEN.fullmatch(needle):
+        if tokens is not None and SINGLE_TOKEN.fullmatch(needle):
             return F.array_contains(tokens, needle)
         return text.rlike(kind[1])
     return text.contains(kind[1])

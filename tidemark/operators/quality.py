@@ -6,12 +6,14 @@ the four datasets, later occurrences flagged) is a window partitioned by id.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import taxonomy as tx
 from tidemark.functions.url import is_http_url
+from tidemark.sources.snapshot import is_missing_path
 
 def dataset_ord():
     return F.when(F.col("dataset") == "active", 0).when(F.col("dataset") == "undated", 1).when(F.col("dataset") == "closed", 2).otherwise(3)
@@ -85,7 +87,9 @@ def payload_violations(spark, root: str) -> DataFrame:
         rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(
             f"{root.rstrip('/')}/runs/{manifest['run']}")
         present = {r.dataset for r in rows.select("dataset").distinct().collect()}
-    except Exception:  # noqa: BLE001 - the run directory itself is missing
+    except AnalysisException as e:    # the run directory itself is missing
+        if not is_missing_path(e):
+            raise
         rows, present = None, set()
     for d in manifest.get("datasets") or []:
         if d not in present:

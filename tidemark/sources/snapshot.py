@@ -8,6 +8,7 @@ file system the cluster uses.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,12 @@ from pyspark.sql import types as T
 from tidemark import SCHEMA_VERSION
 from tidemark.schema import LISTING_SCHEMA, REQUIRED_LISTING
 
+def is_missing_path(error: AnalysisException) -> bool:
+    """Whether a read failed only because nothing has been written there yet;
+    any other failure (permission, time-out) must not pass for an empty table."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 DATASETS = ("active", "undated", "closed", "review")
 
 
@@ -25,7 +32,9 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
     try:
         df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    except Exception:  # noqa: BLE001 - a missing payload reads as empty
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return spark.createDataFrame([], LISTING_SCHEMA)
     ok = F.col("_corrupt_record").isNull()
     for c in REQUIRED_LISTING:
@@ -67,7 +76,9 @@ def latest_manifest(spark: SparkSession, root: str) -> dict | None:
     """The newest published manifest (by generated_at, then run id), or None."""
     try:
         m = spark.read.schema(MANIFEST_SCHEMA).json(f"{root.rstrip('/')}/_manifests/*")
-    except Exception:  # noqa: BLE001 - a missing root means nothing is published yet
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return None
     row = m.orderBy(F.col("generated_at").desc(), F.col("run").desc()).limit(1).collect()
     return row[0].asDict() if row else None

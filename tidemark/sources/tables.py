@@ -5,23 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-# Tables whose rows carry long texts: per-row work is CPU heavy.
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than task slots (a small
-    file with few row groups) so CPU-heavy text work uses every core. A large
-    input already has more splits than slots and is left untouched."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    return df.repartition(slots) if n < slots else df
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table for CPU-heavy per-row work (folding, scoring, parsing)."""
-    return spread(table(spark, sf_dir, name))
