@@ -6,7 +6,7 @@ from tidemark.plans.q_listings import TAX
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import fixtures as fx
 from tidemark.sources import snapshot as snap
-from tidemark.streaming.scheduled import run_refresh, scheduled_run
+from tidemark.streaming.scheduled import land, run_refresh, scheduled_run
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,10 +19,10 @@ def _sources(spark):
 def test_available_now_equals_batch_run(spark):
     root = ensure_checkpoint_dir(spark).rstrip("/") + "/t-" + uuid.uuid4().hex
     raw = fx.listing_raw(spark, SF)
-    raw.withColumn("schedule", F.lit("all")).coalesce(1).write.parquet(f"{root}/landing")
+    land(raw, f"{root}/landing", "one", "all")
     sources = _sources(spark)
     failed = spark.createDataFrame([], "source_id string")
-    run_refresh(spark, f"{root}/landing", raw.withColumn("schedule", F.lit("all")).schema, f"{root}/out", f"{root}/ckpt",
+    run_refresh(spark, f"{root}/landing", f"{root}/out", f"{root}/ckpt",
                 sources, failed, TAX, lambda e: (fx.NOW_ISO, fx.LISTING_TODAY))
     streamed = {(r.dataset, r.rank, r.id) for r in snap.read_published(spark, f"{root}/out").collect()}
     batch = {(r.dataset, r.rank, r.id) for r in scheduled_run(raw, None, sources, "all", failed, TAX, fx.NOW_ISO, fx.LISTING_TODAY).collect()}
@@ -31,11 +31,11 @@ def test_available_now_equals_batch_run(spark):
 
 def test_second_run_keeps_first_seen(spark):
     root = ensure_checkpoint_dir(spark).rstrip("/") + "/t-" + uuid.uuid4().hex
-    raw = fx.listing_raw(spark, SF).withColumn("schedule", F.lit("all"))
-    raw.coalesce(1).write.mode("append").parquet(f"{root}/landing")
-    raw.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    raw = fx.listing_raw(spark, SF).repartition(3)
+    land(raw, f"{root}/landing", "first", "all")
+    land(raw, f"{root}/landing", "second", "all")
     stamps = {0: ("2024-01-30T12:00:00+09:00", "2024-01-30"), 1: (fx.NOW_ISO, fx.LISTING_TODAY)}
-    run_refresh(spark, f"{root}/landing", raw.schema, f"{root}/out", f"{root}/ckpt", _sources(spark),
+    run_refresh(spark, f"{root}/landing", f"{root}/out", f"{root}/ckpt", _sources(spark),
                 spark.createDataFrame([], "source_id string"), TAX, lambda e: stamps[e])
     out = snap.read_published(spark, f"{root}/out").collect()
     assert out

@@ -58,6 +58,30 @@ r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FR
 SELECT page_id, link, text, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 500"""
 
 
+# Pages derived from part: markup, quoting and relative links that a list page may use.
+PART_URL = "concat('https://h.example.org/list/', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'p?x=1' END)"
+
+
+def _part_html():
+    key = F.col("p_partkey").cast("string")
+    return F.concat(
+        F.lit('<a href="?c='), key, F.lit('"><b>contest</b> number '), key, F.lit("</a><a class=x href='../v/"), key,
+        F.lit("'>hackathon &amp; game jam &#8211; "), F.col("p_name"), F.lit('</a><a href="//other.example.org/contest">contest elsewhere</a>'),
+        F.lit('<a href="/short">contest</a><a href="../v/./'), key, F.lit('">contest seen before</a>'))
+
+
+@register("link_candidates_part", f"""
+WITH p AS (SELECT p_partkey, {PART_URL.replace("AS STRING", "AS VARCHAR")} AS url, p_name FROM part)
+SELECT p_partkey AS page_id, regexp_replace(url, '[?].*$', '') || '?c=' || p_partkey AS link, 'contest number ' || p_partkey AS text, CAST(1 AS INTEGER) AS rank FROM p
+UNION ALL
+SELECT p_partkey, 'https://h.example.org/v/' || p_partkey, 'hackathon & game jam – ' || {sg.collapse('p_name')}, CAST(2 AS INTEGER) FROM p""")
+def q_link_candidates_part(spark, sf):
+    """X7 over pages derived from part: bold and quoted anchors, query-only and
+    dotted links, references, a foreign host, a short text, a repeated link."""
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.expr(PART_URL).alias("url"), _part_html().alias("html"))
+    return extract.link_candidates(pages).select("page_id", "link", "text", F.col("rank").cast("int"))
+
+
 @register("link_candidates", _link_candidates_sql())
 def q_link_candidates(spark, sf):
     """Listing-link candidates per page."""
@@ -143,7 +167,7 @@ WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, {sg.q(ANCHOR_SQL
                   unnest(range(len(regexp_extract_all(html, {sg.q(ANCHOR_SQL)})))) AS pos FROM pages),
 b AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {_resolve_sql('url', "regexp_extract(a, " + sg.q(ANCHOR_SQL) + ", 1)")} AS link,
              {sg.collapse(_unescape_sql("regexp_extract(a, " + sg.q(ANCHOR_SQL) + ", 2)"))} AS text FROM a),
-d AS (SELECT url AS link, any_value({sg.collapse(_unescape_sql("regexp_extract(html, " + sg.q(extract.TITLE_TAG) + ", 1)"))}) AS d_title FROM pages GROUP BY url)
+d AS (SELECT url AS link, arg_min({sg.collapse(_unescape_sql("regexp_extract(html, " + sg.q(extract.TITLE_TAG) + ", 1)"))}, page_id) AS d_title FROM pages GROUP BY url)
 SELECT b.page_id, b.pos, b.link, d.d_title IS NOT NULL AS has_detail, coalesce(d.d_title, b.text) AS title,
        CASE WHEN d.d_title IS NULL THEN {sg.q(tx.DETAIL_DEFAULT)} END AS summary
 FROM b LEFT JOIN d USING (link)""")
