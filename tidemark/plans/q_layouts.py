@@ -249,7 +249,7 @@ rows_ AS (SELECT page_id, unnest(regexp_extract_all(html, {sg.q(ly.LI_RE)}, 1))
                  unnest(range(len(regexp_extract_all(html, {sg.q(ly.LI_RE)}, 1)))) AS pos FROM pg),
 sel AS (SELECT *, {day} AS day_t, {cat} AS cat, {div('organ')} AS organ, {link} AS link FROM rows_
         WHERE regexp_matches(body, {sg.q(ly.WEV_LINK)}) AND contains(body, 'sub-tit') AND contains(body, 'organ'))
-SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(link, '[?&]ix=([^&#]*)', 1) AS source_post_id,
+SELECT page_id, CAST(pos AS BIGINT) AS pos, link AS source_url, regexp_extract(link, '[?&]ix=([^&#]*)', 1) AS source_post_id,
   {strip("regexp_extract(body, " + sg.q(ly.WEV_LINK) + ", 2)")} AS title,
   CASE WHEN organ <> '' THEN organ ELSE {sg.q(SRC.name)} END AS organizer,
   CASE WHEN regexp_matches(day_t, '(?i)D-[0-9]+') THEN CAST(DATE '{RUN_DATE}' + CAST(regexp_extract(day_t, '(?i)D-([0-9]+)', 1) AS INT) AS VARCHAR)
@@ -262,7 +262,7 @@ FROM sel"""
 def q_list_layout_lineitem(spark, sf):
     pages = table(spark, sf, "lineitem").select(*[F.expr(e).alias(n) for n, e in LIST_PAGE.items()])
     out = ly.category_list(pages, SRC, RUN_DATE, fx.NOW_ISO)
-    return out.select("page_id", F.col("pos").cast("bigint"), "source_post_id", "title", "organizer", "recruit_end", "original_category")
+    return out.select("page_id", F.col("pos").cast("bigint"), "source_url", "source_post_id", "title", "organizer", "recruit_end", "original_category")
 
 
 def _strip_sql(e: str) -> str:
