@@ -94,3 +94,10 @@ def dates_from_text(col: Column) -> tuple[Column, Column]:
     start = F.when(n >= 2, F.element_at(valid, 1))
     end = F.when(n == 1, F.element_at(valid, 1)).when(n >= 2, F.element_at(valid, 2))
     return start, end
+
+
+def epoch_ms_date(ms: Column) -> Column:
+    """Calendar date, in the zone of all dates, of a time in epoch milliseconds;
+    independent of the session's time zone."""
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(LOCAL_ZONE), utc).cast("date")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import epoch_ms_date
 from tidemark.operators import layouts as ly
 from tidemark.plans.catalog import register
 from tidemark.sources import fixtures as fx
@@ -89,8 +90,7 @@ SELECT event_id, CAST(CAST(timezone('Asia/Seoul', make_timestamptz(epoch_ms(ts)
 def q_epoch_ms_date(spark, sf):
     e = table(spark, sf, "events")
     ms = F.unix_millis(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
-    local = F.to_date(F.from_utc_timestamp(F.timestamp_millis(ms), "Asia/Seoul"))
-    return e.select("event_id", F.date_format(local, "yyyy-MM-dd").alias("local_day"))
+    return e.select("event_id", F.date_format(epoch_ms_date(ms), "yyyy-MM-dd").alias("local_day"))
 
 
 # ---- X23 endpoint records derived from orders: open vs recently closed
