@@ -369,7 +369,7 @@ DDAY_PAGE = {
 
 def _dday_sql() -> str:
     from tidemark.plans import sqlgen as sg
-    base = ly._placeholder_url(SRC.list_url, schM="view", pbancSn="__ID__")
+    base = ly.with_query(SRC.list_url, schM="view", pbancSn="__ID__")
     return f"""
 WITH pg AS ({_pages_sql(DDAY_PAGE, 'orders')}),
 it AS (SELECT page_id, unnest(regexp_extract_all(html, {sg.q(ly.KS_ITEM)}, 0)) AS a,
