@@ -39,13 +39,13 @@ def q_canonical_url_listings(spark, sf):
 
 
 @register("match_key", f"""
-SELECT doc_id, {sg.match_key("substr(split_part(text, chr(10), 1), 1, 120)")} AS title_key,
+SELECT doc_id, {sg.match_key("split_part(text, chr(10), 1)")} AS title_key,
        md5({sg.match_key('text')}) AS text_key_md5, CAST(length({sg.match_key('text')}) AS BIGINT) AS text_key_len
 FROM documents""")
 def q_match_key(spark, sf):
     d = table(spark, sf, "documents")
     key = tf.match_key(F.col("text"))
-    return d.select("doc_id", tf.match_key(F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 120)).alias("title_key"),
+    return d.select("doc_id", tf.match_key(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("title_key"),
                     F.md5(key).alias("text_key_md5"), F.length(key).cast("bigint").alias("text_key_len"))
 
 

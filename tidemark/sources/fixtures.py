@@ -26,14 +26,14 @@ LISTINGS_SQL = {
     "source_name": "upper(source)",
     "source_url": "concat('HTTPS://', upper(source), '.Example.org/p/', CAST(doc_id AS STRING), '/?utm_source=x&id=', CAST(doc_id % 7 AS STRING), '#top')",
     "source_post_id": "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id AS STRING) END",
-    "title": "substring(split_part(text, chr(10), 1), 1, 120)",
-    "organizer": "substring(split_part(text, chr(10), 2), 1, 40)",
-    "summary": "substring(text, 1, 200)",
+    "title": "split_part(text, chr(10), 1)",
+    "organizer": "split_part(text, chr(10), 2)",
+    "summary": "split_part(text, chr(10), 3)",
     "body_text": "text",
     "source_kind": "CASE doc_id % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'specialist' WHEN 2 THEN 'aggregate' ELSE 'government' END",
     "source_priority": "CASE doc_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 60 WHEN 2 THEN 40 ELSE 80 END",
     "recruit_start": "CAST(DATE '2024-01-01' + CAST(doc_id % 40 AS INT) AS STRING)",
-    "recruit_end": "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(DATE '2024-01-21' + CAST(length(substring(split_part(text, chr(10), 1), 1, 120)) % 60 AS INT) AS STRING) END",
+    "recruit_end": "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(DATE '2024-01-21' + CAST(length(split_part(text, chr(10), 1)) % 60 AS INT) AS STRING) END",
     "date_kind": "CASE WHEN doc_id % 13 = 0 THEN 'ongoing' WHEN doc_id % 11 = 0 THEN 'unknown' ELSE 'exact' END",
     "fee": "CASE WHEN doc_id % 5 = 0 THEN 'paid' ELSE 'free' END",
 }
@@ -161,8 +161,8 @@ def today_of(value: str) -> dt.date:
 # Previous snapshot: listings_v minus every fifth row, with a changed title and
 # a changed post id on every seventh row, first seen on the previous run.
 PREVIOUS_SQL = dict(LISTINGS_SQL)
-PREVIOUS_SQL["title"] = ("CASE WHEN doc_id % 7 = 0 THEN concat(substring(split_part(text, chr(10), 1), 1, 120), ' (prev)') "
-                         "ELSE substring(split_part(text, chr(10), 1), 1, 120) END")
+PREVIOUS_SQL["title"] = ("CASE WHEN doc_id % 7 = 0 THEN concat(split_part(text, chr(10), 1), ' (prev)') "
+                         "ELSE split_part(text, chr(10), 1) END")
 PREVIOUS_SQL["source_post_id"] = ("CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN concat(CAST(doc_id AS STRING), 'p') "
                                   "ELSE CAST(doc_id AS STRING) END")
 PREVIOUS_WHERE = "doc_id % 5 <> 0"
