@@ -63,6 +63,7 @@ class Vocabulary:
     starts: dict[str, bool] = field(default_factory=dict)   # beginnings of pieces; whether they are pieces
     stable: dict[str, dict[str, bool]] = field(default_factory=dict)
     atoms: dict[str, bytes] = field(default_factory=dict)
+    coded: dict[str, bytes] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -94,7 +95,7 @@ class Vocabulary:
         return cls(score, ids, byte_ids, raw, longest, inside, starts)
 
     def __getstate__(self):   # what was remembered stays with the worker
-        return self.__dict__ | {"stable": {}, "atoms": {}}
+        return self.__dict__ | {"stable": {}, "atoms": {}, "coded": {}}
 
     def merge(self, text: str) -> list[str]:
         """Merge a short string: best score first, leftmost among equals."""
@@ -154,22 +155,27 @@ class Vocabulary:
             out.append(t)
         return out[::-1]
 
+    def wire(self, piece: str) -> bytes:
+        """Ids of a piece as little-endian int32: its own, or those of its bytes."""
+        known = self.coded.get(piece)
+        if known is None:
+            i = self.ids.get(piece)
+            ids = [i] if i is not None else [self.byte_ids[b] for b in (MARK if piece == _LITERAL else piece).encode()]
+            known = np.array(ids, "<i4").tobytes()
+            if i is not None:
+                self.coded[piece] = known
+        return known
+
     def to_ids(self, pieces: list[str]) -> bytes:
-        out = []
-        for t in pieces:
-            i = self.ids.get(t)
-            if i is None:
-                out += [self.byte_ids[b] for b in (MARK if t == _LITERAL else t).encode()]
-            else:
-                out.append(i)
-        return np.array(out, "<i4").tobytes()
+        known, wire = self.coded.get, self.wire
+        return b"".join([known(t) or wire(t) for t in pieces])
 
     def solve(self, s: str) -> bytes:
         """Best path through a whole decoupled stretch. With weights of 0 and
         minus infinity any complete path is the best, so the lattice is explored
         lazily, longest pieces first; positions that lead nowhere are remembered
         (what reaches a position does not depend on the way, see :meth:`paths`)."""
-        n, starts, stable, follows = len(s), self.starts, self.stable, self.follows
+        n, starts, stable, follows = len(s), self.starts.get, self.stable, self.follows
         dead: set[int] = set()
         path: list[str] = []
         open_ends: list[list[int]] = []
@@ -177,30 +183,30 @@ class Vocabulary:
         while p < n:
             ends = [p + 1]
             for e in range(p + 2, n + 1):
-                piece = starts.get(s[p:e])
+                piece = starts(s[p:e])
                 if piece is None:
                     break
                 if piece:
                     ends.append(e)
-            open_ends.append(ends)
             while True:
+                known = stable.get(last)
+                if known is None:
+                    known = stable[last] = {}
                 while ends:
                     e = ends.pop()
-                    if e in dead:
-                        continue
-                    t = s[p:e]
-                    known = stable.get(last)
-                    ok = known.get(t) if known else None
-                    if ok or ok is None and follows(last, t):
-                        break
+                    if e not in dead:
+                        t = s[p:e]
+                        ok = known.get(t)
+                        if ok or ok is None and follows(last, t):
+                            break
                 else:
                     dead.add(p)
-                    open_ends.pop()
-                    ends = open_ends[-1]
+                    ends = open_ends.pop()
                     p -= len(path.pop())
                     last = path[-1] if path else ""
                     continue
                 break
+            open_ends.append(ends)
             path.append(t)
             p, last = e, t
         return self.to_ids(path)
@@ -211,6 +217,9 @@ class Vocabulary:
         if len(self.atoms) >= _CACHE_SIZE:
             self.atoms.clear()
             self.stable.clear()
+        if s[1:].isalpha() and len(s) <= _CACHE_ATOM:    # a plain word: hardly ever cut
+            ids = self.atoms[s] = self.solve(s)
+            return ids
         inside, atoms, lo, parts = self.inside, self.atoms, 0, []
         for i in range(1, len(s)):
             if s[i - 1:i + 1] not in inside:
