@@ -61,3 +61,11 @@ def test_fold_guard_covers_every_fold(spark):
     df = spark.createDataFrame(rows, "c string")
     got = [r.f for r in df.select(fold(F.col("c")).alias("f")).collect()]
     assert got == [c.casefold() for (c,) in rows]
+
+
+def test_hangul_stays_on_the_short_path():
+    import re
+
+    from tidemark.functions.text import fold_rare_class
+    rare = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U" + m[1].zfill(8), fold_rare_class()))
+    assert not rare.search("2026 인디게임 제작지원 공모 abc éüß") and rare.search("ﬁ") and rare.search("ς")

@@ -63,9 +63,20 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(src), "".join(dst), tuple(mseen.items())
 
 
-# Only these can casefold differently from lower(): micro sign, sharp s and
-# characters from U+0100 up (derived from the fold tables, checked in tests).
-FOLD_RARE = r"[\x{00B5}\x{0100}-\x{10FFFF}]"
+@lru_cache(maxsize=1)
+def fold_rare_class() -> str:
+    """Regex class of the lower-case characters whose casefold differs from them
+    (sharp s apart, which has a cheaper path): texts without any, such as Hangul
+    ones, never take the long path."""
+    src, _, multi = _fold_tables()
+    points = sorted({ord(c) for c in src} | {ord(c) for c, _ in multi if c != "\u00df"})
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and runs[-1][1] == p - 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[" + "".join(_cp(chr(x)) + ("-" + _cp(chr(y)) if y > x else "") for x, y in runs) + "]"
 
 
 def fold(col: Column) -> Column:
@@ -80,7 +91,7 @@ def fold(col: Column) -> Column:
     full = F.translate(low, src, dst)
     for s, d in multi:
         full = F.replace(full, F.lit(s), F.lit(d))
-    return F.when(low.rlike(FOLD_RARE), full).otherwise(F.replace(low, F.lit("\u00df"), F.lit("ss")))
+    return F.when(low.rlike(fold_rare_class()), full).otherwise(F.replace(low, F.lit("\u00df"), F.lit("ss")))
 
 
 def collapse_ws(col: Column) -> Column:
