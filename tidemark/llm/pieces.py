@@ -46,7 +46,7 @@ CHUNK = 1 << 15
 MARK = "▁"
 _LITERAL = "\ud800"       # stands for a literal space mark; valid texts cannot hold it
 _ATOM = re.compile(f"\n+|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-_CACHE_ATOM, _CACHE_SIZE = 48, 800_000
+_CACHE_ATOM, _CACHE_SIZE = 48, 250_000
 _NEVER = float("-inf")
 
 State = tuple[int, str]   # characters beyond the boundary that are already covered, last piece
