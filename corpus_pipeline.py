@@ -21,6 +21,7 @@ from tidemark.llm import decontaminate, lines, minhash, pieces, toxicity
 from tidemark.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+REMEMBER = 250_000   # the other stages' workers may still hold memory
 LINK = 80   # near duplicates: hundredths of similarity of five-word shingles
 
 
@@ -63,7 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of every document left."""
-    out = pieces.decode(pieces.encode(_documents(docs).select("doc_id", "text")))
+    out = pieces.decode(pieces.encode(_documents(docs).select("doc_id", "text"), remember=REMEMBER))
     return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), "decoded")
 
 

@@ -46,7 +46,8 @@ CHUNK = 1 << 15
 MARK = "▁"
 _LITERAL = "\ud800"       # stands for a literal space mark; valid texts cannot hold it
 _ATOM = re.compile(f"\n+|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-_CACHE_ATOM, _CACHE_SIZE = 48, 250_000
+_CACHE_ATOM = 48
+REMEMBER = 800_000        # stretches that a worker remembers, about 250 bytes each
 _NEVER = float("-inf")
 
 State = tuple[int, str]   # characters beyond the boundary that are already covered, last piece
@@ -64,9 +65,10 @@ class Vocabulary:
     stable: dict[str, dict[str, bool]] = field(default_factory=dict)
     atoms: dict[str, bytes] = field(default_factory=dict)
     coded: dict[str, bytes] = field(default_factory=dict)
+    room: int = REMEMBER
 
     @classmethod
-    def load(cls, path: str = MODEL) -> Vocabulary:
+    def load(cls, path: str = MODEL, room: int = REMEMBER) -> Vocabulary:
         """Read the pieces on the driver; the vocabulary has a fixed size."""
         import sentencepiece
 
@@ -92,7 +94,7 @@ class Vocabulary:
             inside.update(p[i:i + 2] for i in range(len(p) - 1))
             for i in range(2, len(p) + 1):
                 starts[p[:i]] = starts.get(p[:i], False) or i == len(p)
-        return cls(score, ids, byte_ids, raw, longest, inside, starts)
+        return cls(score, ids, byte_ids, raw, longest, inside, starts, room=room)
 
     def __getstate__(self):   # what was remembered stays with the worker
         return self.__dict__ | {"stable": {}, "atoms": {}, "coded": {}}
@@ -214,7 +216,7 @@ class Vocabulary:
     def atom(self, s: str) -> bytes:
         """Ids (as little-endian int32) of a decoupled stretch, cut further at
         character pairs that no piece holds."""
-        if len(self.atoms) >= _CACHE_SIZE:
+        if len(self.atoms) >= self.room:
             self.atoms.clear()
             self.stable.clear()
         if s[1:].isalpha() and len(s) <= _CACHE_ATOM:    # a plain word: hardly ever cut
@@ -416,10 +418,12 @@ def _ints(values: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), "<i4")))
 
 
-def encode(documents: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``documents`` with ``ids`` (array<int>) added, from the whole ``text``."""
+def encode(documents: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, remember: int = REMEMBER) -> DataFrame:
+    """``documents`` with ``ids`` (array<int>) added, from the whole ``text``.
+    ``remember`` bounds the memory of a worker's solved stretches; it changes
+    only the time taken."""
     spark = documents.sparkSession
-    v = spark.sparkContext.broadcast(Vocabulary.load(model))
+    v = spark.sparkContext.broadcast(Vocabulary.load(model, remember))
     names = [c for c in documents.columns if c not in ("ids", "_ids", "_row")]
     documents = documents.select(*names)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", ids array<int>"
