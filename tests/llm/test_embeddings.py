@@ -65,3 +65,45 @@ def test_pairs_count_once_over_leaves():
     first, _ = E.compare_leaf(x[[0, 1, 4]], ids[[0, 1, 4]], copies[[0, 1, 4]], [codes[k] for k in (0, 1, 4)], 3)
     second, low = E.compare_leaf(x[[0, 1, 2, 3, 5]], ids[[0, 1, 2, 3, 5]], copies[[0, 1, 2, 3, 5]], [codes[k] for k in (0, 1, 2, 3, 5)], 9)
     assert first.tolist() == [2, 1, 0] and second.tolist() == [1, 1, 3, 0, 0] and low.tolist() == [0, 0, 0, 3, 5]
+
+
+def near_copies(rng, n, dim=32, noise=0.18):
+    center = rng.standard_normal(dim)
+    center /= np.linalg.norm(center)
+    x = center + noise * rng.standard_normal((n, dim)) / np.sqrt(dim)
+    return x.astype(np.float32)
+
+
+def links_of(x, link=0.93):
+    u = E._unit(x.astype(np.float64))
+    return np.concatenate([(u[k:k + 1000] @ u.T >= link).sum(1) - 1 for k in range(0, len(u), 1000)])
+
+
+def test_groups_of_near_copies_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([near_copies(rng, n, noise=s) for n, s in ((20, .2), (300, .25), (1200, .27), (1800, .3))] + [rng.standard_normal((3000, 32)).astype(np.float32)])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(df, leaf=64, part=500).collect()}
+    want = links_of(x)
+    got = np.array([got[i] for i in range(len(x))])
+    assert (got <= want).all()
+    for lo, hi in ((0, 20), (20, 320), (320, 1520), (1520, 3320)):
+        assert got[lo:hi].sum() >= 0.99 * want[lo:hi].sum() > 0
+
+
+def test_parts_of_a_leaf_find_the_links_of_the_leaf():
+    x = near_copies(np.random.default_rng(3), 900, noise=0.27)
+    ids, copies, codes = np.arange(900)[::-1].copy(), np.arange(900) % 3 + 1, [np.array([1, 7] if k % 2 else [7]) for k in range(900)]
+    links, low = E.compare_leaf(x, ids, copies, codes, 7)
+    at = ids % 3
+    total, edges = np.zeros(900, np.int64), []
+    for a in range(3):
+        for b in range(a, 3):
+            r = np.flatnonzero((at == a) | (at == b))
+            found, to = E.compare_leaf(x[r], ids[r], copies[r], [codes[k] for k in r], 7, side=None if a == b else at[r] == b)
+            total[r] += found
+            edges += zip(ids[r], to)
+    assert total.tolist() == links.tolist() and links.any()
+    label = np.arange(900)
+    label = E._merge(label, *np.array(edges).T)
+    assert label[ids].tolist() == low.tolist()
