@@ -84,3 +84,21 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert not any(r["contaminated"] for r in D.decontaminate(odd_docs, none).collect())
     assert D.decontaminate(no_docs, items).count() == 0
     assert D.decontaminate(spark.createDataFrame([doc(1, prose(6, 40))], odd_docs.schema), items).head()["contaminated"]
+
+
+def test_long_items_at_the_full_fifth_of_edits(spark):
+    rng = random.Random(21)
+    items, docs = [], []
+    for i, n in enumerate([20, 50, 100, 200, 400] * 8):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+        items.append((i, " ".join(words)))
+        body = edited(rng, words, 0.2) if i % 2 else list(words)
+        if not i % 2:     # insertions only, at places within the item
+            for _ in range(n // 5):
+                body.insert(rng.randrange(1, len(body)), f"new{rng.getrandbits(40)}")
+        docs.append((i, " ".join([f"x{rng.getrandbits(40)}" for _ in range(70)] + body + [f"x{rng.getrandbits(40)}" for _ in range(90)])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert all(i == [d] for d, i in want)
+    for shared in (D.SHARED, 0):     # all pieces checked exactly, all through the hashing
+        assert sorted(((r["doc_id"], r["item_ids"]) for r in D.decontaminate(*frames, shared=shared).collect()), key=str) == want

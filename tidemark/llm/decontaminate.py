@@ -9,12 +9,17 @@ with a word edit distance of at most a fifth of the item's words (similarity
    in a bitmap of fixed size that holds these pieces; hits, with the words
    around them, are joined with the pieces and give the item-sized windows that
    can match at all. This loses nothing.
-2. *CGK.* Each window walks through its words by random bits; the walk's output
-   turns edit distance into Hamming distance. In each of ``REPEATS`` repetitions
-   ``SAMPLES`` positions of the output make the key. Items get keys likewise.
-   Windows start at the position that the piece implies and at steps around it.
-3. *LSH join* of the keys gives candidates.
-4. *Exact check*: the item is aligned with the surroundings of the window.
+2. *Pieces of few items.* Every window whose piece at most ``SHARED`` different
+   items hold goes to the exact check with these items, so nothing is lost.
+3. *CGK*, for pieces that more items share, where all pairs would be too many.
+   Each window walks through its words by random bits; the walk's output turns
+   edit distance into Hamming distance. In each of ``REPEATS`` repetitions
+   ``samples_of(n)`` positions of the output make the key. Items get keys
+   likewise. Windows start at the position that the piece implies and at steps
+   around it. The LSH join of the keys gives candidates. Recall aimed at is 0.99
+   at a fifth of edits, so longer items have fewer positions in a key.
+4. *Exact check*: the item is aligned with the surroundings of the window, if
+   these hold enough of its words.
 
 Defined results: null and empty texts are clean; items under ``MIN_WORDS``
 words, or with null text, match nothing; repeated items are reported each; rows
@@ -37,8 +42,8 @@ from tidemark.llm.text import mix, slices, words
 
 SIMILAR = 80          # hundredths of the item's words
 MIN_WORDS = 5
-REPEATS = 32
-SAMPLES = 3
+SHARED = 64           # different items of a piece up to which all are checked
+REPEATS = 64
 SHIFTS = 7            # starts tried around the implied one
 BITMAP = 1 << 24      # bits of the piece filter
 SEED = 271828
@@ -77,16 +82,21 @@ def pieces_of(h: np.ndarray, similar: int = SIMILAR) -> list[tuple[int, int]]:
     return [(j * size, size) for j in range(k + 1)]
 
 
+def samples_of(n: int) -> int:
+    """Outputs of the walk in a key of an item of n words."""
+    return 2 if n <= 100 else 1
+
+
 def cgk_keys(windows: np.ndarray, n: int) -> np.ndarray:
     """(rows, REPEATS) keys of windows of n words each. The walk of a repetition
     is decided by a hash of the current word and the step, so equal words move
-    equally; it is sampled at ``SAMPLES`` of its first 2n outputs."""
+    equally; it is sampled at ``samples_of(n)`` of its first 2n outputs."""
     rows = np.arange(len(windows))
     rng = np.random.default_rng([SEED, n])
     out = np.empty((len(windows), REPEATS), np.int64)
     padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], 1)
     for r in range(REPEATS):
-        steps = np.sort(rng.choice(2 * n, min(SAMPLES, 2 * n), replace=False))
+        steps = np.sort(rng.choice(2 * n, samples_of(n), replace=False))
         salt = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         at = np.zeros(len(windows), np.int64)
         key = np.full(len(windows), r * 4096 + n, np.uint64)
@@ -113,7 +123,7 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> int:
 
 
 def items_of(benchmark: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(item_id, n, hashes): usable items with their word hashes."""
+    """(item_id, n, hashes, ih): usable items with their word hashes and a hash of these."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             h = word_hashes([t or "" for t in pdf["text"]])
@@ -121,20 +131,20 @@ def items_of(benchmark: DataFrame, similar: int = SIMILAR) -> DataFrame:
             yield out[out["n"] >= MIN_WORDS]
 
     source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return source.mapInPandas(run, "item_id long, n int, hashes binary")
+    return source.mapInPandas(run, "item_id long, n int, hashes binary").withColumn("ih", F.xxhash64("hashes"))
 
 
 def seeds_of(items: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(gram, size, at, n): the pieces of the items."""
+    """(gram, size, at, n, ih): the pieces of the items."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for raw in pdf["hashes"]:
+            for raw, ih in zip(pdf["hashes"], pdf["ih"], strict=True):
                 h = np.frombuffer(raw, np.uint64)
-                out += [(int(gram(h[o:o + size], size).view(np.int64)[0]), size, o, len(h)) for o, size in pieces_of(h, similar)]
-            yield pd.DataFrame(out, columns=["gram", "size", "at", "n"])
+                out += [(int(gram(h[o:o + size], size).view(np.int64)[0]), size, o, len(h), ih) for o, size in pieces_of(h, similar)]
+            yield pd.DataFrame(out, columns=["gram", "size", "at", "n", "ih"])
 
-    return items.mapInPandas(run, "gram long, size int, at int, n int").distinct()
+    return items.mapInPandas(run, "gram long, size int, at int, n int, ih long").distinct()
 
 
 def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, list[int], int]:
@@ -202,7 +212,7 @@ def shifts(k: int) -> list[int]:
     return sorted({round(x) for x in np.linspace(-k, k, SHIFTS)} | {0})
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR, shared: int = SHARED) -> DataFrame:
     """(doc_id, th, item_id): items that occur in the texts of ``documents``
     (doc_id, th, text)."""
     items = saved(items_of(benchmark, similar), "items")
@@ -210,7 +220,12 @@ def matches(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR)
     found = saved(regions(documents, seeds), "regions")
     row = ["doc_id", "th", "base"]
     hits = found.select(*row, F.explode("hits").alias("hit")).select(*row, "hit.at", "hit.gram")
-    starts = hits.join(seeds.withColumnRenamed("at", "offset"), "gram").select(*row, (F.col("at") - F.col("offset")).alias("start"), "n").distinct()
+    owners = seeds.groupBy("gram").agg(F.countDistinct("ih").alias("owners"))
+    seeds = saved(seeds.join(owners, "gram").select("gram", F.col("at").alias("offset"), "n", "ih", (F.col("owners") > shared).alias("common")), "owners")
+    start = (F.col("at") - F.col("offset")).alias("start")
+    few = hits.join(seeds.where("not common"), "gram").select(*row, "ih", start)
+    few = few.groupBy(*row, "ih").agg(F.min("start").cast("long").alias("lo"), F.max("start").cast("long").alias("hi"))
+    starts = hits.join(seeds.where("common").select("gram", "offset", "n").distinct(), "gram").select(*row, start, "n").distinct()
     lists = starts.groupBy(*row).agg(F.collect_list(F.struct("start", "n")).alias("windows"))
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,24 +241,27 @@ def matches(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR)
                             part[:len(h[s:s + n])] = h[s:s + n]
                             groups.setdefault(n, []).append((i, s, part))
             for n, rows in groups.items():
-                at = [r[0] for r in rows]
                 keys = cgk_keys(np.stack([r[2] for r in rows]), n)
-                out = pdf.iloc[np.repeat(at, REPEATS)][row].assign(start=np.repeat([r[1] for r in rows], REPEATS), n=n, key=keys.reshape(-1))
-                yield out.drop_duplicates([*row, "key"])
+                out = pd.DataFrame({"at": np.repeat([r[0] for r in rows], REPEATS), "key": keys.reshape(-1), "start": np.repeat([r[1] for r in rows], REPEATS)})
+                out = out.groupby(["at", "key"])["start"].agg(["min", "max"]).reset_index()
+                yield pdf.iloc[out["at"]][row].assign(lo=out["min"].to_numpy(), hi=out["max"].to_numpy(), n=n, key=out["key"].to_numpy())
 
     def embed_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for n, part in pdf.groupby("n"):
                 keys = cgk_keys(np.stack([np.frombuffer(x, np.uint64) for x in part["hashes"]]), int(n))
-                yield pd.DataFrame({"item_id": np.repeat(part["item_id"].astype("Int64"), REPEATS), "n": n, "key": keys.reshape(-1)})
+                yield pd.DataFrame({"ih": np.repeat(part["ih"].to_numpy(), REPEATS), "n": n, "key": keys.reshape(-1)})
 
     cut = found.join(lists.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("base").alias("_b"), "windows"),
                      F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("base") == F.col("_b")))
-    keys = cut.select(*row, "hashes", "windows").mapInPandas(embed, "doc_id long, th long, base long, start long, n long, key long")
-    item_keys = items.mapInPandas(embed_items, "item_id long, n long, key long")
-    near = (keys.join(item_keys, ["key", "n"]).groupBy(*row, "item_id").agg(F.min("start").alias("lo"), F.max("start").alias("hi")))
-    pairs = near.join(items, near["item_id"].eqNullSafe(items["item_id"])).select(*row, near["item_id"], "lo", "hi", "n", F.col("hashes").alias("item"))
-    pairs = pairs.select(*(F.col(c).alias(f"_{c}") for c in row), "item_id", "lo", "hi", "n", "item")
+    keys = cut.select(*row, "hashes", "windows").mapInPandas(embed, "doc_id long, th long, base long, lo long, hi long, n long, key long")
+    texts = saved(items.select("ih", "n", "hashes").dropDuplicates(["ih"]), "texts")
+    sharing = texts.join(seeds.where("common").select("ih").distinct(), "ih", "left_semi")
+    item_keys = sharing.mapInPandas(embed_items, "ih long, n long, key long")
+    near = few.unionByName(keys.join(item_keys, ["key", "n"]).select(*row, "ih", "lo", "hi"))
+    near = near.groupBy(*row, "ih").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pairs = near.join(texts.withColumnRenamed("hashes", "item"), "ih")
+    pairs = pairs.select(*(F.col(c).alias(f"_{c}") for c in row), "ih", "lo", "hi", "n", "item")
     pairs = found.select(*row, "hashes").join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")) & (F.col("base") == F.col("_base")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,17 +271,18 @@ def matches(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR)
                 h, item = np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.item, np.uint64)
                 k = allowed(r.n, similar)
                 part = h[max(0, r.lo - 2 * k):r.hi + r.n + 2 * k]
-                good.append(edit_distance(item, part) <= k)
-            yield pdf.loc[good, ["doc_id", "th", "item_id"]]
+                good.append(np.isin(item, part).sum() >= r.n - k and edit_distance(item, part) <= k)
+            yield pdf.loc[good, ["doc_id", "th", "ih"]]
 
-    return pairs.select(*row, "hashes", "item_id", "lo", "hi", "n", "item").mapInPandas(verify, "doc_id long, th long, item_id long").distinct()
+    good = pairs.select(*row, "hashes", "ih", "lo", "hi", "n", "item").mapInPandas(verify, "doc_id long, th long, ih long").distinct()
+    return good.join(items.select("ih", "item_id"), "ih").select("doc_id", "th", "item_id").distinct()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR, shared: int = SHARED) -> DataFrame:
     """One row per row of ``documents``: doc_id, th (hash of the text),
     contaminated, n_items and item_ids (ascending)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
-    found = matches(docs, benchmark, similar).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    found = matches(docs, benchmark, similar, shared).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     found = saved(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "item_ids"), "contaminated")
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     return docs.select("doc_id", "th").join(found, on, "left").select(
