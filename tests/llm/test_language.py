@@ -63,3 +63,28 @@ def test_odd_documents(spark, model, odd_docs, no_docs):
     assert {1, 2, 3, 10} <= und and 4 not in und and all(r["score"] == 0 for r in rows if r["lang_pred"] == "und")
     assert L.fit(no_docs) is None and L.identify(no_docs, None).count() == 0
     assert {r["lang_pred"] for r in L.identify(odd_docs, None).collect()} == {"und"}
+
+
+def test_runs_without_spaces(spark, model):
+    rows = duckdb.sql(f"select doc_id, text, lang from '{SF}/documents.parquet' where n_chars > 300").fetchall()
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    for gap in ("\u00a0", "\u3000", ""):
+        df = spark.createDataFrame([(r[0], gap.join(r[1].split())) for r in rows], "doc_id long, text string")
+        got = {r["doc_id"]: r["lang_pred"] for r in L.identify(df, model).collect()}
+        assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.97
+
+
+def test_cuts_cover_runs_and_follow_scripts():
+    text = "short " + "λόγος" * 9 + "abc" + "世界" * 11 + "!" + "é" * 30 + " don’t"
+    (b,) = slices(pa.array([text]))
+    w, reach = L._cut(b, L.prefix_hash(L.lowered(b)))
+    old = words(b)
+    covered = np.zeros(len(b.data), int)
+    for s, e in zip(w.start, w.end):
+        covered[s:e] += 1
+        assert b.data[s:e].tobytes().decode()
+    assert (w.end - w.start <= L.GRAM_SPAN).all() and (reach - w.start <= L.GRAM_SPAN).all() and covered.max() == 1
+    assert covered.sum() == (old.end - old.start).sum()
+    starts = {len(text[:text.index(x)].encode()) for x in ("abc", "世", "é")}
+    assert starts <= set(w.start.tolist())
+    assert [b.data[s:e].tobytes().decode() for s, e in zip(w.start, w.end)][-1] == "don’t"

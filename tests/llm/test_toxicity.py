@@ -78,3 +78,26 @@ def test_training_rows_exclude_held_out_and_repeats(spark):
     texts, toxic = T.training_rows(docs, labels)
     want = sorted(f"text {i}" for i in range(60) if zlib.crc32(str(i).encode()) % 5)
     assert sorted(texts) == want and toxic[texts.index("text 3")] == 1
+
+
+def test_every_byte_of_a_run_without_spaces_is_an_input():
+    for text in ("x" * 3 + "".join(chr(97 + (k * k + k // 7) % 26) for k in range(200)), "".join(chr(0x4E00 + 37 * k) for k in range(90)), "a€ñ😀" * 40):
+        (b,) = slices(pa.array([text]))
+        v = T.vocabulary(b)
+        raw = text.encode()
+        c = T.prefix_hash(T.lowered(b))
+        at = np.arange(len(raw) - T.GRAM + 1)
+        want = set((T.span_hash(c, at, at + T.GRAM) % np.uint64(T.GRAM_BUCKETS)).astype(np.int64).tolist())
+        assert set(v.grams[:, len(T.PREFIXES):].ravel().tolist()) - {-1} == want
+
+
+def test_joined_words_are_judged_as_well(spark, model):
+    rows = duckdb.sql(f"select doc_id, text, toxic from '{SF}/documents.parquet' join '{SF}/labels.parquet' using (doc_id) where toxic is not null").fetchall()
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    toxic = np.array([r[2] for r in rows]) == 1
+    recall, wrong = {}, {}
+    for gap in (" ", "\u00a0", "\u3000", "_", ","):
+        score = np.concatenate([T.score_slice(model, b) for b in slices(pa.array([gap.join(r[1].split()) for r in rows], pa.string()))])
+        recall[gap], wrong[gap] = (score[toxic] >= 0.5).mean(), (score[~toxic] >= 0.5).mean()
+    assert recall["\u00a0"] == recall["\u3000"] == recall[" "], (recall, wrong)
+    assert min(recall.values()) > 0.6 and max(wrong.values()) < 0.02, (recall, wrong)

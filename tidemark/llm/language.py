@@ -1,6 +1,8 @@
 """Language identification with spans for mixed-language text (op 5).
 
-Words are scored, not documents. The script of a word's first letter narrows
+Words are scored, not documents; a run without a space is cut at changes of the
+script and, if longer than ``GRAM_SPAN`` bytes, into consecutive words, so that
+every byte counts; all Unicode white space separates. The script of a word's first letter narrows
 the candidate languages (a language is a candidate for a script in which a
 share of its training words is written); each candidate gets the naive Bayes
 log-likelihood of the word's character n-grams. A Viterbi pass over the words
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import Bytes, Words, held_out, lowered, mix, prefix_hash, slices, span_hash, words
+from tidemark.llm.text import Bytes, Words, cut_runs, held_out, lowered, mix, prefix_hash, slices, spaced, span_hash, words
 
 PER_LANG = 1500          # labelled documents of each language used for learning
 GRAM_BUCKETS = 1 << 17
@@ -65,10 +67,40 @@ def scripts(b: Bytes, w: Words) -> np.ndarray:
     ok = p < w.end
     p = np.where(ok, p, w.start)
     pad = np.concatenate([d, np.zeros(4, np.uint8)]).astype(np.int64)
+    return np.where(ok, _script_at(pad, p), -1)
+
+
+def _script_at(pad: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Script code of the characters that start at ``p``."""
     b0, b1, b2, b3 = pad[p], pad[p + 1] & 63, pad[p + 2] & 63, pad[p + 3] & 63
     cp = np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, (b0 & 31) << 6 | b1, np.where(
         b0 < 0xF0, (b0 & 15) << 12 | b1 << 6 | b2, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3)))
-    return np.where(ok, _CODE[np.maximum(0, np.searchsorted(_STARTS, cp, "right") - 1)], -1)
+    return _CODE[np.maximum(0, np.searchsorted(_STARTS, cp, "right") - 1)]
+
+
+def script_changes(b: Bytes, w: Words) -> np.ndarray:
+    """Positions inside words at which a letter of another script follows."""
+    d = b.data
+    lead = np.flatnonzero(d >= 0xC3)
+    pad = np.concatenate([d, np.zeros(4, np.uint8)]).astype(np.int64)
+    kind = _script_at(pad, lead)
+    latin, other = _NAMES.index("latin"), _NAMES.index("other")
+    if not ((kind != latin) & (kind != other)).any():
+        return np.zeros(0, np.int64)
+    ascii_ = np.flatnonzero(((d >= 65) & (d <= 90)) | ((d >= 97) & (d <= 122)))
+    at = np.concatenate([lead, ascii_])
+    kind = np.concatenate([kind, np.full(len(ascii_), latin)])
+    order = np.argsort(at, kind="stable")
+    at, kind = at[order], kind[order]
+    at, kind = at[kind != other], kind[kind != other]
+    run = np.searchsorted(w.start, at, "right")
+    return at[1:][(kind[1:] != kind[:-1]) & (run[1:] == run[:-1])]
+
+
+def _cut(b: Bytes, c: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words of a slice and how far their n-grams reach."""
+    w = words(b)
+    return cut_runs(b, w, c, GRAM_SPAN, max(GRAM_SIZES) - 1, script_changes(b, w))
 
 
 def _grams(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -102,15 +134,16 @@ def train(texts: list[str], langs: list[str]) -> Model:
     by_script = np.zeros((len(_NAMES), max(k, 1)))
     for i, name in enumerate(names):
         column = pa.array([t for t, lang in zip(texts, langs, strict=True) if lang == name], pa.large_string())
-        for b in slices(column):
-            w = words(b)
+        for b in map(spaced, slices(column)):
+            c = prefix_hash(lowered(b))
+            w, reach = _cut(b, c)
             kind = scripts(b, w)
             real = kind >= 0
             if not real.any():
                 continue
             by_script[:, i] += np.bincount(kind[real], minlength=len(_NAMES))
             _, at, many = np.unique(w.hash[real], return_index=True, return_counts=True)
-            g = _grams(prefix_hash(lowered(b)), w.start[real][at], w.end[real][at])
+            g = _grams(c, w.start[real][at], reach[real][at])
             weight = np.broadcast_to(many[:, None], g.shape)[g >= 0]
             counts[:, i] += np.bincount(g[g >= 0], weights=weight, minlength=GRAM_BUCKETS)
     logp = np.log(counts / counts.sum(0))
@@ -121,12 +154,12 @@ def train(texts: list[str], langs: list[str]) -> Model:
     return Model(names, np.concatenate([logp, np.zeros((1, max(k, 1)))]).astype(np.float32), allowed)
 
 
-def word_scores(model: Model, b: Bytes, w: Words) -> tuple[np.ndarray, np.ndarray]:
+def word_scores(model: Model, b: Bytes, w: Words, c: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, k) log-likelihoods (0 for words without letters, -inf-like for
     languages that the script excludes) and the scripts."""
     kind = scripts(b, w)
     _, at, ids = np.unique(w.hash, return_index=True, return_inverse=True)
-    g = _grams(prefix_hash(lowered(b)), w.start[at], w.end[at])
+    g = _grams(c, w.start[at], reach[at])
     score = model.logp[g[:, 0]].copy()
     n = (g >= 0).sum(1)
     for j in range(1, g.shape[1]):
@@ -179,8 +212,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 def label(model: Model, parts: list[Bytes]) -> list[tuple[Words, np.ndarray, np.ndarray]]:
     """For each slice: its words, their language labels, and their weights
     (bytes; 0 without letters). One Viterbi pass serves all slices."""
-    cut = [words(b) for b in parts]
-    scored = [word_scores(model, b, w) for b, w in zip(parts, cut, strict=True)]
+    cut, scored = [], []
+    for b in map(spaced, parts):
+        c = prefix_hash(lowered(b))
+        w, reach = _cut(b, c)
+        cut.append(w)
+        scored.append(word_scores(model, b, w, c, reach))
     base = np.cumsum([0] + [len(w.start) for w in cut])
     first = np.concatenate([w.first[:-1] + n for w, n in zip(cut, base, strict=False)] + [base[-1:]])
     labels = viterbi(np.concatenate([x for x, _ in scored]), first)

@@ -19,6 +19,8 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARK = np.zeros(256, bool)   # ASCII punctuation
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SAME = np.arange(256, dtype=np.uint8)
@@ -135,6 +137,65 @@ def lowered(b: Bytes) -> np.ndarray:
     return _LOWER[b.data]
 
 
+def spaced(b: Bytes) -> Bytes:
+    """``b`` with white space outside ASCII (no-break, ideographic, general
+    punctuation spaces and line ends) as ASCII spaces of equal length."""
+    d = b.data
+    p = np.flatnonzero((d == 0xC2) | ((d >= 0xE1) & (d <= 0xE3)))
+    pad = np.concatenate([d, np.zeros(2, np.uint8)])
+    x, y, z = pad[p], pad[p + 1], pad[p + 2]
+    two = (x == 0xC2) & ((y == 0xA0) | (y == 0x85))
+    general = (x == 0xE2) & (((y == 0x80) & (((z >= 0x80) & (z <= 0x8A)) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+    three = general | ((x == 0xE3) & (y == 0x80) & (z == 0x80)) | ((x == 0xE1) & (y == 0x9A) & (z == 0x80))
+    if not (two | three).any():
+        return b
+    d = d.copy()
+    for k, at in ((0, p[two | three]), (1, p[two | three]), (2, p[three])):
+        d[at + k] = 0x20
+    return Bytes(b.lo, b.hi, d, b.start, b.end)
+
+
+def cut_runs(b: Bytes, w: Words, c: np.ndarray, whole: int, over: int, inside: np.ndarray | None = None) -> tuple[Words, np.ndarray]:
+    """``w`` with runs longer than ``whole`` bytes cut into consecutive pieces
+    between characters, so that every byte is in a short word; and how far the
+    n-grams of each piece reach: ``over`` bytes into the next one, at most
+    ``whole`` in all. Hashes of pieces are of these bytes (``c`` is the prefix
+    hash). Such runs are first cut after ASCII punctuation, and all runs at the
+    positions ``inside``."""
+    s, e, h = w.start, w.end, w.hash
+    inside = np.zeros(0, np.int64) if inside is None else inside
+    big = np.zeros(len(b.data) + 1, np.int8)
+    np.add.at(big, s[e - s > whole], 1)
+    np.add.at(big, e[e - s > whole], -1)
+    if big.any():
+        mark = _MARK[b.data]
+        p = np.flatnonzero(np.cumsum(big[:-1], dtype=np.int8).astype(bool) & ~mark)
+        inside = np.union1d(inside, p[(p > 0) & mark[p - 1]])
+    inside = np.setdiff1d(inside, s)
+    if len(inside):
+        parts = np.union1d(s, inside)
+        run = np.searchsorted(s, parts, "right") - 1
+        end = np.minimum(np.append(parts[1:], len(b.data)), e[run])
+        same = (parts == s[run]) & (end == e[run])
+        h = np.where(same, h[run], span_hash(c, parts, end))
+        s, e = parts, end
+    step = whole - over - 3             # a cut moves back by up to three bytes
+    many = np.where(e - s > whole, -(-(e - s - whole + 3) // step) + 1, 1)
+    if len(s) == len(w.start) and not (many > 1).any():
+        return w, e
+    run = np.repeat(np.arange(len(s)), many)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+    start = s[run] + k * step
+    for _ in range(3):
+        start -= (k > 0) & ((b.data[start] & 0xC0) == 0x80)
+    end = np.where(k + 1 < many[run], np.append(start[1:], 0), e[run])
+    reach = np.minimum(end + over, e[run])
+    h = h[run]
+    new = many[run] > 1
+    h[new] = span_hash(c, start[new], reach[new])
+    return Words(start, end, np.searchsorted(start, np.append(b.start, len(b.data))), h), reach
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fifth of the documents whose labels are never learned from:
     crc32 of the id as text, modulo 5, is 0."""

@@ -1,6 +1,8 @@
 """Toxicity scoring with a bidirectional gated recurrent network (op 1).
 
-Every text is cut into overlapping windows of words. A word enters the network
+Every text is cut into overlapping windows of words; runs without a space that
+are longer than ``WHOLE`` bytes are cut into consecutive words, so that every
+byte is an input; all Unicode white space separates. A word enters the network
 as the sum of a word embedding and of embeddings of its character n-grams (both
 hashed); a forward and a backward gated recurrent layer run over the window, an
 attention layer pools their states, and a logistic unit scores the window. The
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import Bytes, held_out, lowered, mix, prefix_hash, slices, span_hash, words
+from tidemark.llm.text import Bytes, cut_runs, held_out, lowered, mix, prefix_hash, slices, spaced, span_hash, words
 
 HIDDEN = 8
 DIM = 8
@@ -41,6 +43,7 @@ PER_CLASS = 1500   # toxic documents used for training; twice as many clean ones
 GRAM = 4
 PREFIXES = (3, 4, 5, 6)
 GRAM_SPAN = 12     # character n-grams starting in the first bytes of a word
+WHOLE = GRAM_SPAN + GRAM - 1   # bytes that these n-grams cover; longer words are cut
 
 
 @dataclass
@@ -72,10 +75,11 @@ class Vocabulary:
 
 
 def vocabulary(b: Bytes) -> Vocabulary:
-    w = words(b)
-    _, at, ids = np.unique(w.hash, return_index=True, return_inverse=True)
-    s, e = w.start[at], w.end[at]
+    b = spaced(b)
     c = prefix_hash(lowered(b))
+    w, reach = cut_runs(b, words(b), c, WHOLE, GRAM - 1)
+    _, at, ids = np.unique(w.hash, return_index=True, return_inverse=True)
+    s, e = w.start[at], reach[at]
     cols = []
     for n in PREFIXES:
         ok = s + n <= e
