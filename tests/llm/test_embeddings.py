@@ -107,3 +107,15 @@ def test_parts_of_a_leaf_find_the_links_of_the_leaf():
     label = np.arange(900)
     label = E._merge(label, *np.array(edges).T)
     assert label[ids].tolist() == low.tolist()
+
+
+def test_vectors_that_differ_by_scale_spread_over_tasks(spark):
+    base = np.random.default_rng(4).standard_normal(16)
+    rows = [(i, (base * (1 + i)).astype(np.float32).tolist(), 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    packed = E._packed(df.selectExpr("vec_id as rep", "cast(label as long) label", "16 dim", "1L copies", "embedding x"), "<f4")
+    sizes = E.tasks_of(E.grow(packed, "<f4", leaf=64), 100).groupBy("code", "one", "two").count().collect()
+    assert len({r["code"] for r in sizes}) == 1      # one leaf, not one in every tree
+    assert len(sizes) == 15 * 16 // 2 and max(r["count"] for r in sizes) < 300
+    got = E.near_duplicates(df, leaf=64, part=100).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(1499, 0)}

@@ -249,6 +249,16 @@ def compare_leaf(x: np.ndarray, ids: np.ndarray, copies: np.ndarray, codes: list
     return links, ids[by_id][label[rank]]
 
 
+def tasks_of(placed: DataFrame, part: int = PART) -> DataFrame:
+    """The rows of the leaves in each task (label, dim, code, one, two) that
+    compares them: parts ``one`` and ``two`` of a leaf, ``at`` is the row's part."""
+    key = ["label", "dim", "code"]
+    parts = placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias("parts"))
+    return (placed.join(parts, key).withColumn("at", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .withColumn("one", F.least("at", "other")).withColumn("two", F.greatest("at", "other")).drop("other", "parts"))
+
+
 def near_duplicates(embeddings: DataFrame, link: float = LINK, trees: int = TREES, leaf: int = LEAF, part: int = PART) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``embeddings``
     (vec_id, embedding, label)."""
@@ -273,12 +283,7 @@ def near_duplicates(embeddings: DataFrame, link: float = LINK, trees: int = TREE
         out = pd.DataFrame({"rep": ids, "found": found, "low": low})
         return out[out["found"] > 0]
 
-    key = ["label", "dim", "code"]
-    parts = placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias("parts"))
-    tasks = (placed.join(parts, key).withColumn("at", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("parts")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .withColumn("one", F.least("at", "other")).withColumn("two", F.greatest("at", "other")))
-    leaves = tasks.join(codes, ["rep", "label", "dim"]).groupBy(*key, "one", "two")
+    leaves = tasks_of(placed, part).join(codes, ["rep", "label", "dim"]).groupBy("label", "dim", "code", "one", "two")
     links = saved(leaves.applyInPandas(compare, "rep long, found long, low long"), "links")
     groups = connected_components(links.where("rep <> low"), "rep", "low").select(F.col("vertex").alias("rep"), F.col("label").alias("to"))
     facts = (classes.select("h1", "h2", "rep", "copies").join(links.groupBy("rep").agg(F.sum("found").alias("found")), "rep", "left")
