@@ -88,3 +88,17 @@ def test_cuts_cover_runs_and_follow_scripts():
     starts = {len(text[:text.index(x)].encode()) for x in ("abc", "世", "é")}
     assert starts <= set(w.start.tolist())
     assert [b.data[s:e].tobytes().decode() for s, e in zip(w.start, w.end)][-1] == "don’t"
+
+
+def test_repeated_ids_reach_the_driver_once(spark, monkeypatch):
+    from tidemark.llm import toxicity as T
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i} {k % 7}", "en") for i in ids for k in range(50)] + [(ids[0], None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    seen, plain = [], type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: seen.append(plain(df)) or seen[-1])
+    texts, _ = L.training_rows(docs)
+    assert texts == [f"text {i} 0" for i in ids]
+    texts, toxic = T.training_rows(docs, labels)
+    assert texts == [""] + [f"text {i} 0" for i in ids[1:]] and toxic.tolist() == [i % 2 for i in ids]
+    assert [len(s) for s in seen] == [len(ids)] * 2

@@ -254,9 +254,9 @@ def training_rows(documents: DataFrame, per_lang: int = PER_LANG) -> tuple[list[
     chosen = picks[0]
     for pick in picks[1:]:
         chosen = chosen.unionByName(pick)
-    # at most per_lang ids of each language
-    rows = documents.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").toPandas()
-    rows = rows.dropna(subset=["text"]).drop_duplicates().sort_values(["lang", "doc_id", "text"])
+    # at most per_lang ids of each language, one row of each
+    rows = (documents.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+            .groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "doc_id"]))
     return list(rows["text"]), list(rows["lang"])
 
 

@@ -274,10 +274,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, per_class: int = PER_
     picks = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(m)
              for k, m in ((0, 2 * per_class), (1, per_class))]
     chosen = picks[0].unionByName(picks[1])
-    # at most 3 * per_class ids
-    rows = (documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-            .toPandas().sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id"))
-    return [t or "" for t in rows["text"]], rows["toxic"].to_numpy(dtype=np.int64)
+    # at most 3 * per_class ids, one row of each
+    rows = (documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).toPandas().sort_values("doc_id"))
+    return list(rows["text"]), rows["toxic"].to_numpy(dtype=np.int64)
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
