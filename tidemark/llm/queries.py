@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, embeddings, language, lines, minhash, pieces, repeats, toxicity, urls
+from tidemark.llm import chat, decontaminate, embeddings, grammar, infill, language, lines, merkle, minhash, pieces, repeats, toxicity, urls
+from tidemark.llm.store import folder
 from tidemark.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +173,117 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "contaminated", "n_items", "item_ids")
+
+
+MANIFEST = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*MANIFEST)
+    touched = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    tampered = merkle.leaf([F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in MANIFEST])
+    rows = merkle.manifest(docs, MANIFEST, "lang", "doc_id", {"tampered": F.when(touched, F.unhex(tampered))})
+    start = F.coalesce(merkle.hexed(F.col("tampered")), F.col("leaf"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.sha(merkle.hexed(F.col("proof"))).alias("proof_sha256"),
+                       merkle.folded_root(start).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _field(column: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(n_chars if c == "n_chars" else c) for c in MANIFEST) + ")"
+
+
+# CRC-32, bit by bit: the polynomial of the standard, reversed, over the decimal id.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+  lambda acc, c: list_reduce([xor(acc, c)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+    lambda b, z: xor(b >> 1, 3988292384 * (b & 1)))), 4294967295)"""
+
+ORACLES["op11_merkle"] = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, n_chars IS NOT NULL AND {_CRC} % 7 = 0 AS touched,
+         {_leaf_sql('(n_chars + 1)')} AS other
+  FROM documents
+), placed AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves
+), sub AS (
+  SELECT tree, 0 AS height, idx, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT a.tree, a.height + 1, a.idx // 2, (a.n + 1) // 2, sha256(a.digest || coalesce(b.digest, ''))
+  FROM sub a LEFT JOIN sub b ON a.tree = b.tree AND b.idx = a.idx + 1
+  WHERE a.n > 1 AND a.idx % 2 = 0
+), sub_nodes AS MATERIALIZED (SELECT * FROM sub),
+subroots AS MATERIALIZED (SELECT tree, digest, (SELECT count(DISTINCT tree) FROM placed) AS trees FROM sub_nodes WHERE n = 1),
+top AS (
+  SELECT 0 AS height, tree AS idx, trees AS n, digest FROM subroots
+  UNION ALL
+  SELECT a.height + 1, a.idx // 2, (a.n + 1) // 2, sha256(a.digest || coalesce(b.digest, ''))
+  FROM top a LEFT JOIN top b ON b.idx = a.idx + 1
+  WHERE a.n > 1 AND a.idx % 2 = 0
+), top_nodes AS MATERIALIZED (SELECT * FROM top),
+climb AS (
+  SELECT row_number() OVER () AS row, doc_id, tree, 0 AS at_top, 0 AS height, idx, n, CASE WHEN touched THEN other ELSE leaf END AS digest, '' AS proof, leaf
+  FROM placed
+  UNION ALL
+  SELECT row, doc_id, c.tree, CASE WHEN c.n > 1 THEN at_top ELSE 1 END, CASE WHEN c.n > 1 THEN c.height + 1 ELSE 0 END,
+         CASE WHEN c.n > 1 THEN c.idx // 2 ELSE c.tree END, CASE WHEN c.n > 1 THEN (c.n + 1) // 2 ELSE (SELECT any_value(trees) FROM subroots) END,
+         CASE WHEN c.n = 1 THEN c.digest WHEN c.idx % 2 = 0 THEN sha256(c.digest || coalesce(s.digest, t.digest, ''))
+              ELSE sha256(coalesce(s.digest, t.digest, '') || c.digest) END,
+         proof || CASE WHEN c.n > 1 THEN coalesce(s.digest, t.digest, '') ELSE '' END, leaf
+  FROM climb c
+  LEFT JOIN sub_nodes s ON c.at_top = 0 AND c.n > 1 AND s.tree = c.tree AND s.height = c.height AND s.idx = xor(c.idx, 1)
+  LEFT JOIN top_nodes t ON c.at_top = 1 AND c.n > 1 AND t.height = c.height AND t.idx = xor(c.idx, 1)
+  WHERE c.n > 1 OR c.at_top = 0
+)
+SELECT c.doc_id, c.leaf, s.digest AS subroot, r.digest AS root, sha256(c.proof) AS proof_sha256, c.digest AS folded_root,
+       c.digest = r.digest AS verified
+FROM climb c JOIN subroots s ON s.tree = c.tree CROSS JOIN (SELECT digest FROM top_nodes WHERE n = 1) r
+WHERE c.at_top = 1 AND c.n = 1
+"""
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "tokens")
+    grammar.write(table(spark, sf_dir, "documents"), path)
+    return grammar.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"),
+                      F.sha2(infill.restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+ORACLES["op13_infill"] = f"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('{infill.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+  SELECT doc_id, text, regexp_extract_all(text, '{_UNIT}') AS units,
+         ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM hashed
+), cut AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS z,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {infill.RATE} THEN 'plain'
+              WHEN h4 % 100 < {infill.SPM} THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:z], ''), '') AS middle,
+         coalesce(array_to_string(units[z + 1:n], ''), '') AS suffix
+  FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
