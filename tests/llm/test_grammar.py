@@ -2,6 +2,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -92,8 +93,19 @@ def test_rules_stand_for_frequent_pairs():
 
 def test_memory_of_words_only_saves_time(tokenizer):
     e = G.Encoder(G.TOKENIZER, remember=4)
-    for text in ("a b c d e f g", "a b c", "g f e a", "z y x w v", "a z"):
-        assert e([text]) == [struct.pack("<%dI" % len(x), *x) for x in [tokenizer.encode(text, add_special_tokens=False).ids]]
+    for texts in (["a b c d e f g"], ["a b c", "", None, "a.b,C 12x"], ["g f e a", "z y x w v"], ["a z", "ÀÉ-ñ! ß", "don't 'tis", "x" * 100 + ".", "≠ a≠b e.́"]):
+        got = e(pa.array(texts, pa.string()))
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert got.size.tolist() == [len(w) for w in want] and got.flat.tolist() == [i for w in want for i in w]
+
+
+def test_every_printable_pair(tokenizer):
+    chars = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA0, 0x100), 0x300, 0x301, 0x2028, 0x3000, 0x3C2, 0x130]]
+    texts = [f"{a}{b}{a} x{b}{a}y {b}{a}" for a in chars for b in chars]
+    got = G.Encoder(G.TOKENIZER)(pa.array(texts, pa.string()))
+    ends = np.cumsum(got.size)
+    for t, n, z, want in zip(texts, got.size, ends, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.flat[z - n:z].tolist() == want.ids, t
 
 
 def test_foreign_bytes_are_refused():

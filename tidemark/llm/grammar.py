@@ -37,13 +37,16 @@ directory of blocks that reads back as no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress as compress_by
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,12 +58,13 @@ END = 2
 BLOCK = 1 << 20      # ids in a block, about
 LEAST = 3            # occurrences that pay for a rule
 GAIN = 1 / 256
-REMEMBER = 600_000   # words whose ids a worker remembers, at most
+REMEMBER = 400_000   # words, and parts of words, whose ids a worker remembers, at most
+STRETCH = 1 << 22    # bytes of text that are encoded at once
 WORD = 64            # longer words are not remembered
 SLOTS_LOG = 20
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIQBB")
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 BLOCKS = ("shard int, block int, first long, n_tokens long, part int, parts int, doc_ids array<long>, starts array<long>, "
           "sizes array<long>, grammar binary")
@@ -121,38 +125,49 @@ def _unpack(raw: bytes, at: int, count: int, width: int) -> np.ndarray:
 def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, gain: float = GAIN) -> Grammar:
     """The grammar of ``ids`` (all below ``base``); ``last`` marks the ends of
     documents, which no rule spans."""
-    seq, last = ids.astype(np.int64), last.copy()
+    seq, last = ids.astype(np.uint32), last.copy()
     length = [np.zeros(0, np.int64)]
     left, right, rounds, rules = [], [], [], 0
     sizes = np.ones(len(seq), np.int64)
-    slots_log = int(min(SLOTS_LOG, max(8, np.ceil(np.log2(max(len(seq), 1))))))
-    slot_key = np.zeros(1 << slots_log, np.int64)
+    log = int(min(SLOTS_LOG, max(8, np.ceil(np.log2(max(len(seq), 1))))))
+    slots = 1 << log
+    slot_key = np.zeros(slots + 1, np.uint64)
     for k in range(1 << 30):
         if len(seq) < 2:
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        slot = ((key.astype(np.uint64) * np.uint64(_ODD[k % 4])) >> np.uint64(64 - slots_log)).astype(np.int64)
+        mixed = seq[:-1] * _ODD[k % 4] + seq[1:] * _ODD[(k + 1) % 4]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= _ODD[(k + 2) % 4]
+        slot = (mixed >> np.uint32(32 - log)).astype(np.intp)
+        key = seq[:-1].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= seq[1:]
         slot_key[slot] = key
-        able = (slot_key[slot] == key) & ~last[:-1]
-        count = np.bincount(slot[able], minlength=1 << slots_log)
-        weight = np.where(able, count[slot] * (count[slot] >= least), 0)
-        weight = np.where(weight > 0, (weight << slots_log) | slot, 0)   # equal only for equal pairs
+        able = slot_key[slot] == key
+        able &= ~last[:-1]
+        slot[~able] = slots                   # a slot for all pairs that are out of this round
+        count = np.bincount(slot, minlength=slots + 1)
+        count[slots] = 0
+        count[count < least] = 0
+        weight = count[slot]
+        weight[weight > 0] = (weight[weight > 0] << log) | slot[weight > 0]   # equal only for equal pairs
         pick = _heaviest(weight)
-        made = np.bincount(slot[pick], minlength=1 << slots_log)
-        pick = pick[made[slot[pick]] >= least]
+        at = slot[pick]
+        made = np.bincount(at, minlength=slots + 1)
+        pick = pick[made[at] >= least]
         if len(pick) == 0:
             break
         saved = len(pick) / len(seq)
         new = np.flatnonzero(made >= least)
-        name = np.zeros(1 << slots_log, np.int64)
+        name = np.zeros(slots + 1, np.uint32)
         name[new] = base + rules + np.arange(len(new))
         rounds.append(rules)
-        left.append(slot_key[new] >> 32)
-        right.append(slot_key[new] & 0xFFFFFFFF)
+        left.append((slot_key[new] >> np.uint64(32)).astype(np.int64))
+        right.append((slot_key[new] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         sizes[pick] += sizes[pick + 1]
         by_rule = np.zeros(len(new), np.int64)
         seq[pick] = name[slot[pick]]
-        by_rule[seq[pick] - base - rules] = sizes[pick]
+        by_rule[seq[pick].astype(np.int64) - base - rules] = sizes[pick]
         length.append(by_rule)
         last[pick] = last[pick + 1]
         rules += len(new)
@@ -162,7 +177,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, g
         if saved < gain:
             break
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return Grammar(base, np.array(rounds, np.int64), join(left), join(right), join(length), seq, len(ids))
+    return Grammar(base, np.array(rounds, np.int64), join(left), join(right), join(length), seq.astype(np.int64), len(ids))
 
 
 def _heaviest(weight: np.ndarray) -> np.ndarray:
@@ -201,36 +216,133 @@ def read_range(g: Grammar, lo: int, hi: int) -> np.ndarray:
     return expand(g, g.symbols[a:z])[lo - skipped:hi - skipped]
 
 
+class Memory:
+    """A bounded dictionary of two generations: when the younger one is full it
+    becomes the older one, whose entries come back when they are met again; the
+    rest is forgotten."""
+
+    def __init__(self, size: int):
+        self.half = max(1, size // 2)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """The keys that are not known; all others are in ``young`` then."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        absent = [k for k in keys if k not in young]
+        young.update((k, old[k]) for k in absent if k in old)
+        return [k for k in absent if k not in young]
+
+    def forget(self, keys: list[str]) -> None:
+        for k in keys:
+            del self.young[k]
+
+
+# Words of printable ASCII but the apostrophe and of Latin-1 letters: the pattern of
+# the tokenizer always cuts them between letters and other characters, and encodes
+# the parts apart, each run of letters as one unit that ends in an end-of-word token.
+_SAFE = "^[!-&(-~À-ÖØ-öø-ÿ]+$"
+_CUTS = (("([a-zß-öø-ÿ])([!-&(-`{-~])", r"\1 \2"), ("([!-&(-`{-~])([a-zß-öø-ÿ])", r"\1 \2"))
+_SPECIAL = "<|"
+TOGETHER = 2048          # runs of letters that are encoded as one text
+
+
+@dataclass
+class Ragged:
+    """Lists of ids, one behind the other."""
+    flat: np.ndarray
+    size: np.ndarray
+
+    def take(self, at: np.ndarray) -> Ragged:
+        size = self.size[at]
+        ends = np.cumsum(size)
+        begin = (np.cumsum(self.size) - self.size)[at]
+        n = int(ends[-1]) if len(ends) else 0
+        return Ragged(self.flat[np.arange(n) + np.repeat(begin - ends + size, size)], size)
+
+    def merged(self, offsets: np.ndarray) -> Ragged:
+        """Lists ``offsets[i]:offsets[i + 1]`` as one each."""
+        ends = np.concatenate([[0], np.cumsum(self.size)])[offsets]
+        return Ragged(self.flat, np.diff(ends))
+
+
+def _ragged(each: list[bytes]) -> Ragged:
+    return Ragged(np.frombuffer(b"".join(each), "<u4"), np.array([len(x) for x in each], np.int64) // 4)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Runs between ASCII white space (and empty ones at the ends) of each text:
+    offsets, and the runs as a dictionary array."""
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten().dictionary_encode()
+    return np.asarray(split.offsets) - split.offsets[0].as_py(), flat
+
+
 class Encoder:
-    """Ids of texts as little-endian u32. Remembers words in two generations: when
-    the younger one is full it becomes the older one, whose words come back when
-    they are met again; the rest is forgotten."""
+    """Ids of texts. Words are cut at ASCII white space and each distinct one of a
+    batch is encoded once; plain words are put together from their parts, whose ids
+    are remembered."""
 
     def __init__(self, path: str, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size()
-        self.half = max(1, remember // 2)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.base, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.letters, self.others = Memory(remember), Memory(remember // 4)
+
+    def __call__(self, texts: pa.Array) -> Ragged:
+        offsets, words = _words(texts.fill_null(""))
+        names = words.dictionary
+        plain = pc.and_(pc.match_substring_regex(names, _SAFE), pc.invert(pc.match_substring(names, _SPECIAL)))
+        low = pc.utf8_lower(names.filter(plain))
+        for pattern, cut in _CUTS:
+            low = pc.replace_substring_regex(low, pattern, cut)
+        at, parts = _words(low)
+        whole = self._parts(parts.dictionary.to_pylist()).take(parts.indices.to_numpy()).merged(at)
+        odd = self._others(names.filter(pc.invert(plain)).to_pylist())
+        plain = plain.to_numpy(zero_copy_only=False)
+        order = np.empty(len(names), np.int64)   # place of each name among the plain ones and then the others
+        order[plain] = np.arange(plain.sum())
+        order[~plain] = np.arange(plain.sum(), len(names))
+        every = Ragged(np.concatenate([whole.flat, odd.flat]), np.concatenate([whole.size, odd.size]))
+        return every.take(order[words.indices.to_numpy()]).merged(offsets)
+
+    def _parts(self, names: list[str]) -> Ragged:
+        """Ids of runs of letters, and of runs of other ASCII characters."""
+        kinds = [p[:1].isalpha() for p in names]
+        letters, rest = list(compress_by(names, kinds)), list(compress_by(names, (not k for k in kinds)))
+        new = self.letters.missing(letters)
+        have = self.letters.young
+        for lo in range(0, len(new), TOGETHER):
+            group = new[lo:lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            have.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        self._learn(rest)
+        known = self.others.young
+        out = _ragged([have[p] if k else known[p] for p, k in zip(names, kinds, strict=True)])
+        self.letters.forget([p for p in new if len(p) > WORD])
+        self.others.forget([p for p in rest if len(p) > WORD])
+        return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.young) > self.half:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        split = [(t or "").encode().split() for t in texts]   # at ASCII white space
-        missed = list({w for words in split for w in words if w not in young})
-        young.update((w, old[w]) for w in missed if w in old)
-        new = [w for w in missed if w not in young]
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        young.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(new, found, strict=True))
-        out = [b"".join(map(young.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > WORD:
-                del young[w]
+    def _others(self, names: list[str]) -> Ragged:
+        self._learn(names)
+        known = self.others.young
+        out = _ragged([known[w] for w in names])
+        self.others.forget([w for w in names if len(w) > WORD])
         return out
 
+    def _learn(self, names: list[str]) -> None:
+        new = self.others.missing(names)
+        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+        self.others.young.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(new, found, strict=True))
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -252,14 +364,15 @@ def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        tail = struct.pack("<I", end)
+        tail = np.uint32(end)
         shard = TaskContext.get().partitionId()
         out = _Blocks(shard, max(encode.base, end + 1), block)
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"]
-            for lo in range(0, len(ids), 256):
-                for doc, tokens in zip(ids[lo:lo + 256], encode(texts.slice(lo, 256).to_pylist()), strict=True):
-                    yield from out.add(doc, np.frombuffer(tokens + tail, "<u4"))
+            for lo, hi in _stretches(batch["text"]):
+                found, at = encode(batch["text"].slice(lo, hi - lo)), 0
+                for doc, n in zip(batch["doc_id"].slice(lo, hi - lo).to_pylist(), found.size.tolist(), strict=True):
+                    yield from out.add(doc, np.append(found.flat[at:at + n], tail))
+                    at += n
         yield from out.flush()
 
     ranged.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
@@ -269,6 +382,17 @@ def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int
     totals.select("shard", F.coalesce(before, F.lit(0)).alias("first_token"), "n_tokens").write.parquet(f"{path}/shards")
 
 
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about ``STRETCH`` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + STRETCH, "right"))
+        hi = min(max(hi, lo + 1), len(texts))
+        yield lo, hi
+        lo = hi
+
+
 class _Blocks:
     """Gathers the documents of a shard into blocks."""
 
