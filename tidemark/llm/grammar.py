@@ -37,11 +37,10 @@ directory of blocks that reads back as no rows.
 from __future__ import annotations
 
 import os
-import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import compress as compress_by
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -55,13 +54,13 @@ from tidemark.operators.curation import bounded_broadcast
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 2
-BLOCK = 1 << 20      # ids in a block, about
+BLOCK = 1 << 18      # ids in a block, about
 LEAST = 3            # occurrences that pay for a rule
-GAIN = 1 / 256
-REMEMBER = 400_000   # words, and parts of words, whose ids a worker remembers, at most
-STRETCH = 1 << 22    # bytes of text that are encoded at once
+GAIN = 1 / 64
+REMEMBER = 500_000   # words, and parts of words, whose ids a worker remembers, at most
+STRETCH = 1 << 23    # bytes of text that are encoded at once
 WORD = 64            # longer words are not remembered
-SLOTS_LOG = 20
+SLOTS_LOG = 18
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIQBB")
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -145,13 +144,11 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, g
         slot_key[slot] = key
         able = slot_key[slot] == key
         able &= ~last[:-1]
-        slot[~able] = slots                   # a slot for all pairs that are out of this round
+        np.copyto(slot, slots, where=~able)   # a slot for all pairs that are out of this round
         count = np.bincount(slot, minlength=slots + 1)
         count[slots] = 0
-        count[count < least] = 0
-        weight = count[slot]
-        weight[weight > 0] = (weight[weight > 0] << log) | slot[weight > 0]   # equal only for equal pairs
-        pick = _heaviest(weight)
+        weight = np.where(count >= least, (count << log) | np.arange(slots + 1), 0)   # equal only for equal pairs
+        pick = _heaviest(weight[slot])
         at = slot[pick]
         made = np.bincount(at, minlength=slots + 1)
         pick = pick[made[at] >= least]
@@ -181,15 +178,14 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST, g
 
 
 def _heaviest(weight: np.ndarray) -> np.ndarray:
-    """Places whose pair outweighs both that overlap it. Neighbours of equal
-    weight are a run of one symbol; every second place of such a run counts."""
-    edge = np.flatnonzero(np.concatenate([[True], weight[1:] != weight[:-1]]))
-    w = weight[edge]
-    top = (w > 0) & (w > np.concatenate([[0], w[:-1]])) & (w > np.concatenate([w[1:], [0]]))
-    size = np.diff(np.append(edge, len(weight)))[top]
-    begin = edge[top]
-    half = (size + 1) // 2
-    return np.repeat(begin, half) + 2 * (np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half))
+    """Places whose pair outweighs both that overlap it; among neighbours of equal
+    weight, a run of one symbol, every second place."""
+    w = np.zeros(len(weight) + 2, np.int64)
+    np.left_shift(weight, 1, out=w[1:-1])
+    w[1:-1:2] += weight[::2] > 0
+    top = w[1:-1] > w[:-2]
+    top &= w[1:-1] > w[2:]
+    return np.flatnonzero(top)
 
 
 def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
@@ -216,35 +212,12 @@ def read_range(g: Grammar, lo: int, hi: int) -> np.ndarray:
     return expand(g, g.symbols[a:z])[lo - skipped:hi - skipped]
 
 
-class Memory:
-    """A bounded dictionary of two generations: when the younger one is full it
-    becomes the older one, whose entries come back when they are met again; the
-    rest is forgotten."""
-
-    def __init__(self, size: int):
-        self.half = max(1, size // 2)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, keys: list[str]) -> list[str]:
-        """The keys that are not known; all others are in ``young`` then."""
-        if len(self.young) > self.half:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        absent = [k for k in keys if k not in young]
-        young.update((k, old[k]) for k in absent if k in old)
-        return [k for k in absent if k not in young]
-
-    def forget(self, keys: list[str]) -> None:
-        for k in keys:
-            del self.young[k]
-
-
 # Words of printable ASCII but the apostrophe and of Latin-1 letters: the pattern of
 # the tokenizer always cuts them between letters and other characters, and encodes
 # the parts apart, each run of letters as one unit that ends in an end-of-word token.
 _SAFE = "^[!-&(-~À-ÖØ-öø-ÿ]+$"
 _CUTS = (("([a-zß-öø-ÿ])([!-&(-`{-~])", r"\1 \2"), ("([!-&(-`{-~])([a-zß-öø-ÿ])", r"\1 \2"))
+_LETTERS = "^[a-zß-öø-ÿ]"
 _SPECIAL = "<|"
 TOGETHER = 2048          # runs of letters that are encoded as one text
 
@@ -260,16 +233,15 @@ class Ragged:
         ends = np.cumsum(size)
         begin = (np.cumsum(self.size) - self.size)[at]
         n = int(ends[-1]) if len(ends) else 0
-        return Ragged(self.flat[np.arange(n) + np.repeat(begin - ends + size, size)], size)
+        return Ragged(self.flat[np.arange(n) + np.repeat(begin - ends + size, size)], size)   # lists in the order of ``at``
 
     def merged(self, offsets: np.ndarray) -> Ragged:
         """Lists ``offsets[i]:offsets[i + 1]`` as one each."""
         ends = np.concatenate([[0], np.cumsum(self.size)])[offsets]
         return Ragged(self.flat, np.diff(ends))
 
-
-def _ragged(each: list[bytes]) -> Ragged:
-    return Ragged(np.frombuffer(b"".join(each), "<u4"), np.array([len(x) for x in each], np.int64) // 4)
+    def then(self, other: Ragged) -> Ragged:
+        return Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.size, other.size]))
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -280,6 +252,37 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return np.asarray(split.offsets) - split.offsets[0].as_py(), flat
 
 
+class Memory:
+    """Ids of at most about ``size`` names. When there are more, those of the last
+    batch stay and the others are forgotten."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.names, self.ids = pa.array([], pa.string()), Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def look_up(self, names: pa.Array, encode: Callable[[list[str]], Ragged]) -> Ragged:
+        """Ids of distinct ``names``; ``encode`` gives those of unknown ones."""
+        at = pc.index_in(names, value_set=self.names)
+        unknown = at.is_null()
+        new = names.filter(unknown)
+        made = encode(new.to_pylist())
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.names) + np.arange(len(new))
+        every = self.ids.then(made)
+        short = pc.less_equal(pc.binary_length(names), WORD)
+        if len(self.names) + len(new) > self.size:
+            self.names, self.ids = names.filter(short), every.take(place[short.to_numpy(zero_copy_only=False)])
+        else:
+            kept = short.filter(unknown)
+            self.names = pa.concat_arrays([self.names, new.filter(kept)])
+            if pc.all(kept).as_py() is False:
+                at = np.concatenate([np.arange(len(self.ids.size)), len(self.ids.size) + np.flatnonzero(kept.to_numpy(zero_copy_only=False))])
+                self.ids = every.take(at)
+            else:
+                self.ids = every
+        return every.take(place)
+
+
 class Encoder:
     """Ids of texts. Words are cut at ASCII white space and each distinct one of a
     batch is encoded once; plain words are put together from their parts, whose ids
@@ -303,45 +306,42 @@ class Encoder:
         for pattern, cut in _CUTS:
             low = pc.replace_substring_regex(low, pattern, cut)
         at, parts = _words(low)
-        whole = self._parts(parts.dictionary.to_pylist()).take(parts.indices.to_numpy()).merged(at)
-        odd = self._others(names.filter(pc.invert(plain)).to_pylist())
-        plain = plain.to_numpy(zero_copy_only=False)
-        order = np.empty(len(names), np.int64)   # place of each name among the plain ones and then the others
-        order[plain] = np.arange(plain.sum())
-        order[~plain] = np.arange(plain.sum(), len(names))
-        every = Ragged(np.concatenate([whole.flat, odd.flat]), np.concatenate([whole.size, odd.size]))
-        return every.take(order[words.indices.to_numpy()]).merged(offsets)
-
-    def _parts(self, names: list[str]) -> Ragged:
-        """Ids of runs of letters, and of runs of other ASCII characters."""
-        kinds = [p[:1].isalpha() for p in names]
-        letters, rest = list(compress_by(names, kinds)), list(compress_by(names, (not k for k in kinds)))
-        new = self.letters.missing(letters)
-        have = self.letters.young
-        for lo in range(0, len(new), TOGETHER):
-            group = new[lo:lo + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, "<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            raw = ids.tobytes()
-            have.update(zip(group, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        self._learn(rest)
-        known = self.others.young
-        out = _ragged([have[p] if k else known[p] for p, k in zip(names, kinds, strict=True)])
-        self.letters.forget([p for p in new if len(p) > WORD])
-        self.others.forget([p for p in rest if len(p) > WORD])
-        return out
-
-    def _others(self, names: list[str]) -> Ragged:
-        self._learn(names)
-        known = self.others.young
-        out = _ragged([known[w] for w in names])
-        self.others.forget([w for w in names if len(w) > WORD])
-        return out
+        whole = self._parts(parts.dictionary).take(parts.indices.to_numpy()).merged(at)
+        odd = self.others.look_up(names.filter(pc.invert(plain)), self._one_by_one)
+        order = _places(plain.to_numpy(zero_copy_only=False))
+        return whole.then(odd).take(order[words.indices.to_numpy()]).merged(offsets)
 
-    def _learn(self, names: list[str]) -> None:
-        new = self.others.missing(names)
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        self.others.young.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(new, found, strict=True))
+    def _parts(self, names: pa.Array) -> Ragged:
+        """Ids of runs of letters, and of runs of other ASCII characters."""
+        letters = pc.match_substring_regex(names, _LETTERS)
+        known = self.letters.look_up(names.filter(letters), self._together)
+        rest = self.others.look_up(names.filter(pc.invert(letters)), self._one_by_one)
+        return known.then(rest).take(_places(letters.to_numpy(zero_copy_only=False)))
+
+    def _together(self, runs: list[str]) -> Ragged:
+        """Ids of runs of letters, many in one text: each ends in an end-of-word token."""
+        flat, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(runs), TOGETHER):
+            group = runs[lo:lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
+            many = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(many) != len(group):
+                raise ValueError("a run of letters is not one unit of the tokenizer")
+            flat.append(ids)
+            size.append(many)
+        return Ragged(np.concatenate(flat), np.concatenate(size))
+
+    def _one_by_one(self, names: list[str]) -> Ragged:
+        found = [e.ids for e in self.tokenizer.encode_batch(names, add_special_tokens=False)]
+        return Ragged(np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64))
+
+
+def _places(first: np.ndarray) -> np.ndarray:
+    """For each entry its place when those marked ``first`` go before the others."""
+    out = np.empty(len(first), np.int64)
+    n = int(first.sum())
+    out[first], out[~first] = np.arange(n), np.arange(n, len(first))
+    return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
