@@ -69,3 +69,19 @@ def test_hangul_stays_on_the_short_path():
     from tidemark.functions.text import fold_rare_class
     rare = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U" + m[1].zfill(8), fold_rare_class()))
     assert not rare.search("2026 인디게임 제작지원 공모 abc éüß") and rare.search("ﬁ") and rare.search("ς")
+
+
+def test_references_equal_the_standard_table(spark):
+    import html
+    from html.entities import html5
+
+    from tidemark.functions.text import html_unescape
+    names = [*html5, *(n.rstrip(";") for n in html5)]
+    texts = [f"a&{n}" for n in names] + [f"&{n}z&{n} b" for n in names]
+    numbers = [*range(0, 0x400), 0x2028, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10 ** 30]
+    texts += [t for n in numbers for t in (f"&#{n};", f"&#x{n:x};x", f"&#{n} y", f"&#X{n:X}", f"&#000{n};")]
+    texts += ["", "&", "&&", "&;", "&#;", "&#x;", "& amp;", "&amp;amp;", "&unknown; &notit; &notin;", "&ampamp;", "a & b &lt c", "&" + "x" * 40 + ";", "&amp" * 5, "&copy 2024 &middot; x &hellip;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(4)
+    got = {r["n"]: r["u"] for r in df.select("n", html_unescape(F.col("t")).alias("u")).collect()}
+    wrong = [(t, got[n], html.unescape(t)) for n, t in enumerate(texts) if got[n] != html.unescape(t)]
+    assert not wrong, wrong[:5]

@@ -6,8 +6,12 @@ that keys computed on the cluster equal the keys of the original pipeline.
 """
 from __future__ import annotations
 
+import html
+import json
 import sys
+import zlib
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,19 +83,31 @@ def fold_rare_class() -> str:
     return "[" + "".join(_cp(chr(x)) + ("-" + _cp(chr(y)) if y > x else "") for x, y in runs) + "]"
 
 
+# Blocks without rare characters: ASCII and Latin-1 but the micro sign, general
+# punctuation, kana, Han and Hangul. Few ranges, so a text is scanned fast.
+FOLD_COMMON = ((0x00, 0xB4), (0xB6, 0xFF), (0x2000, 0x206F), (0x3000, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+@lru_cache(maxsize=1)
+def beyond_common_class() -> str:
+    """Regex class of the characters outside :data:`FOLD_COMMON`."""
+    return "[^" + "".join(f"{_cp(chr(a))}-{_cp(chr(b))}" for a, b in FOLD_COMMON) + "]"
+
+
 def fold(col: Column) -> Column:
     """Python ``str.casefold`` as a Spark expression.
 
     Common text (ASCII and Latin-1 letters) takes ``lower`` plus one plain
     substring replace for sharp s; the full translate / multi-character path
-    runs only for rows holding a rarer character.
+    runs only for rows holding a rarer character, which only rows with a
+    character outside the common blocks are searched for.
     """
     src, dst, multi = _fold_tables()
     low = F.lower(col)
     full = F.translate(low, src, dst)
     for s, d in multi:
         full = F.replace(full, F.lit(s), F.lit(d))
-    return F.when(low.rlike(fold_rare_class()), full).otherwise(F.replace(low, F.lit("\u00df"), F.lit("ss")))
+    return F.when(low.rlike(beyond_common_class()) & low.rlike(fold_rare_class()), full).otherwise(F.replace(low, F.lit("\u00df"), F.lit("ss")))
 
 
 def collapse_ws(col: Column) -> Column:
@@ -112,24 +128,92 @@ def match_key(col: Column) -> Column:
     return F.regexp_replace(fold(F.coalesce(col, F.lit(""))), MATCH_KEY_DROP, "")
 
 
-# The HTML character references decoded natively (the full
-# HTML5 table is decoded inside the page-parsing job).
+# The most common references.
 HTML_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
+    ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
 )
+# What the standard calls a character reference, closed or not.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+REFERENCE_BUCKETS = 512
+REPLACEMENT = "\uFFFD"
+
+
+@lru_cache(maxsize=1)
+def _named_references() -> str:
+    """The standard's named references as JSON: a hash table of small maps, so
+    that one lookup compares a few names. Taken from the running Python."""
+    buckets: list[dict[str, str]] = [{} for _ in range(REFERENCE_BUCKETS)]
+    for name, value in html5.items():
+        buckets[zlib.crc32(name.encode()) % REFERENCE_BUCKETS][name] = value
+    return json.dumps(buckets)
+
+
+@lru_cache(maxsize=1)
+def _odd_numbers() -> str:
+    """Numeric references that do not stand for their own code point, below 160."""
+    return json.dumps({str(n): html.unescape(f"&#{n};") for n in range(160) if html.unescape(f"&#{n};") != chr(n)})
+
+
+def _numbered(body: Column) -> Column:
+    """The character of ``#123`` or ``#x7B`` (with or without ``;``)."""
+    digits = F.rtrim(F.regexp_replace(body, "^#[xX]?0*", ""), F.lit(";"))
+    hexed = body.rlike("^#[xX]")
+    small = F.length(digits) <= 8      # longer ones are beyond Unicode anyway
+    number = F.when(~small, F.lit(1 << 40)).when(digits == "", F.lit(0)).when(hexed, F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+    odd = F.from_json(F.lit(_odd_numbers()), "map<string,string>")
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    none = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return (F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit(REPLACEMENT))
+            .when(number < 160, F.coalesce(odd[number.cast("string")], char)).when(none, F.lit("")).otherwise(char))
+
+
+def _referenced(ref: Column) -> Column:
+    """What one reference stands for. An unknown name gives way to its longest
+    known beginning; a name without one stays as it is."""
+    table = F.from_json(F.lit(_named_references()), "array<map<string,string>>")
+    body = F.substring(ref, F.lit(2), F.length(ref))
+
+    def known(name: Column) -> Column:
+        return F.get(table, (F.crc32(name.cast("binary")) % REFERENCE_BUCKETS).cast("int"))[name]
+
+    def beginning(n: Column) -> Column:
+        value = known(F.substring(body, F.lit(1), n))
+        return F.when(value.isNotNull(), F.concat(value, F.substring(body, n + 1, F.length(body))))
+
+    sizes = F.when(F.length(body) > 2, F.sequence(F.length(body) - 1, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    partly = F.get(F.array_compact(F.transform(sizes, beginning)), F.lit(0))
+    return F.when(body.startswith("#"), _numbered(body)).otherwise(F.coalesce(known(body), partly, ref))
+
+
+def html_unescape(col: Column) -> Column:
+    """HTML character references (the standard's whole table, numeric ones, names
+    without ``;``) as characters. A text is cut at its references, which are
+    looked up and joined with the pieces between; texts without ``&`` are not cut."""
+    def decoded(text: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _referenced)
+        between = F.split(text, REFERENCE, -1)
+        joined = F.array_join(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+    # bound by a lambda, so that the text's own expression stands in the plan once
+    return F.get(F.transform(F.array(col), decoded), F.lit(0))
 
 
 def html_unescape_common(col: Column) -> Column:
+    """The common references only: a few nodes, for expressions that decode many
+    pieces of markup (the whole table is a literal of 40 kB in the plan)."""
     out = col
     for ent, ch in HTML_ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out
 
 
-def clean_text(col: Column) -> Column:
-    """HTML-unescape (common references), collapse whitespace, trim."""
-    return collapse_ws(html_unescape_common(F.coalesce(col, F.lit(""))))
+def clean_text(col: Column, whole_table: bool = False) -> Column:
+    """HTML-unescape, collapse whitespace, trim; ``whole_table``: every
+    reference of the standard, else the common ones."""
+    decode = html_unescape if whole_table else html_unescape_common
+    return collapse_ws(decode(F.coalesce(col, F.lit(""))))
 
 
 def strip_title_markers(col: Column) -> Column:

@@ -6,14 +6,18 @@ the four datasets, later occurrences flagged) is a window partitioned by id.
 """
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+import datetime as dt
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark import SCHEMA_VERSION
 from tidemark.config import taxonomy as tx
+from tidemark.functions.shapes import Record, Whole, document_faults
 from tidemark.functions.url import is_http_url
-from tidemark.sources.snapshot import is_missing_path
+from tidemark.schema import LISTING_SHAPE, PUBLISHED_SHAPE
+from tidemark.sources.snapshot import DATASETS, latest_manifest, read_lines
 
 def dataset_ord():
     return F.when(F.col("dataset") == "active", 0).when(F.col("dataset") == "undated", 1).when(F.col("dataset") == "closed", 2).otherwise(3)
@@ -59,17 +63,18 @@ def assert_valid(df: DataFrame, row: str = "ingest_seq") -> None:
         raise ValueError(f"{n} data-quality violations")
 
 
-def payload_violations(spark, root: str) -> DataFrame:
-    """V1-V6 over a written run (manifest + dataset partitions): (dataset,
-    row, rule) rows for a missing dataset, a wrong schema version, an
-    unparseable generated_at and rows that do not convert. All reads go
-    through Spark."""
-    import datetime as _dt
+def record_faults(lines: DataFrame, shape: Record, value: str = "value") -> DataFrame:
+    """The columns of ``lines`` with (path, fault) for everything that
+    is wrong with each JSON record, at every level of nesting."""
+    rest = [c for c in lines.columns if c != value]
+    return lines.select(*rest, F.inline(document_faults(shape, F.col(value))))
 
-    from tidemark import SCHEMA_VERSION
-    from tidemark.schema import LISTING_SCHEMA, REQUIRED_LISTING
-    from tidemark.sources.snapshot import DATASETS, latest_manifest
 
+def payload_violations(spark, root: str) -> DataFrame:
+    """V1-V6 and V14 over a written run (manifest + dataset partitions): (dataset,
+    row, rule) for a missing dataset, a wrong schema version, an unparseable
+    generated_at, unknown keys of the envelope, rows that do not convert and
+    rows outside the published schema. All reads go through Spark."""
     schema_out = "dataset string, row long, rule string"
     manifest = latest_manifest(spark, root)
     if manifest is None:
@@ -78,33 +83,25 @@ def payload_violations(spark, root: str) -> DataFrame:
     if manifest.get("schema_version") != SCHEMA_VERSION:
         found.append(("manifest", -1, "V2_schema_version"))
     try:
-        _dt.datetime.fromisoformat(manifest["generated_at"])
+        dt.datetime.fromisoformat(manifest["generated_at"])
     except (KeyError, TypeError, ValueError):
         found.append(("manifest", -1, "V3_generated_at"))
-    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("rank", T.LongType()), T.StructField("dataset", T.StringType()),
-                                                   T.StructField("_corrupt_record", T.StringType())])
-    try:
-        rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(
-            f"{root.rstrip('/')}/runs/{manifest['run']}")
-        present = {r.dataset for r in rows.select("dataset").distinct().collect()}
-    except AnalysisException as e:    # the run directory itself is missing
-        if not is_missing_path(e):
-            raise
-        rows, present = None, set()
-    for d in manifest.get("datasets") or []:
-        if d not in present:
-            found.append((d, -1, "V1_missing"))
+    lines = read_lines(spark, f"{root.rstrip('/')}/runs/{manifest['run']}")
+    present = set() if lines is None else {r.dataset for r in lines.select("dataset").distinct().collect()}   # five values at most
+    found += [(d, -1, "V1_missing") for d in manifest.get("datasets") or [] if d not in present]
     meta = spark.createDataFrame(found, schema_out)
-    if rows is None:
+    if lines is None:
         return meta
-    bad = F.col("_corrupt_record").isNotNull()
-    for c in REQUIRED_LISTING:
-        bad = bad | F.col(c).isNull()
-    conv = rows.where(bad).select("dataset", F.coalesce(F.col("rank"), F.lit(-1)).alias("row"), F.lit("V6_conversion").alias("rule"))
-    return meta.unionByName(conv)
+    stored = replace(LISTING_SHAPE, keys={**LISTING_SHAPE.keys, "rank": Whole(null=True)})
+    row = F.coalesce(F.get_json_object("value", "$.rank").try_cast("long"), F.lit(-1))
+    rules = F.array_compact(F.array(
+        F.when(F.size(document_faults(stored, F.col("value"))) > 0, F.lit("V6_conversion")),
+        F.when(F.size(document_faults(PUBLISHED_SHAPE, F.col("value"))) > 0, F.lit("V14_published_schema"))))
+    return meta.unionByName(lines.select("dataset", row.alias("row"), F.explode(rules).alias("rule")))
 
 
-def status_violations(statuses: DataFrame) -> DataFrame:
+def status_violations(statuses: DataFrame, row: str | None = None) -> DataFrame:
     """V5: each status row has a source id and a valid run state."""
     bad = (F.coalesce(F.col("source_id"), F.lit("")) == "") | ~F.coalesce(F.col("status"), F.lit("")).isin(*tx.RUN_STATES)
-    return statuses.where(bad).select(F.lit("sources").alias("dataset"), F.monotonically_increasing_id().alias("row"), F.lit("V5_status").alias("rule"))
+    at = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
+    return statuses.where(bad).select(F.lit("sources").alias("dataset"), at.alias("row"), F.lit("V5_status").alias("rule"))

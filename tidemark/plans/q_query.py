@@ -2,15 +2,19 @@
 (Q*, U*, G*, R1-R4, S3, S4, S6)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.config import taxonomy as tx
-from tidemark.operators import health, personal, publish, query
+from tidemark.operators import facets, health, personal, query
 from tidemark.operators.query import Filters
 from tidemark.plans import sqlgen as sg
 from tidemark.plans.catalog import register
 from tidemark.plans.q_listings import NORM, NORM_CTES, normalized
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import fixtures as fx
+from tidemark.sources import published
 from tidemark.sources.tables import table
 
 def now_ts():
@@ -22,19 +26,24 @@ def now_ntz():
 USER = 7
 
 
-def snapshot(spark, sf):
-    """The published snapshot the query layer reads: normalised listings
-    materialised once (reliable checkpoint), so filters and facets scan stored
-    rows instead of re-running the scoring projection."""
-    return normalized(spark, sf).checkpoint()
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def run_of(spark, sf) -> published.PublishedRun:
+    """The published run of the listings: written by the first query of an
+    application that reads it, opened by all later ones."""
+    at = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    run = published.open_published(spark, _RUNS[at]) if at in _RUNS else None
+    if run is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/published/{uuid.uuid4().hex}"
+        run = published.write_published(published.flat(normalized(spark, sf), fx.LISTING_TODAY), path, now_ts())
+        _RUNS[at] = path
+    return run
 
 
 def scored(spark, sf):
-    """Normalised listings routed into datasets (P1) with flat columns."""
-    n = snapshot(spark, sf)
-    ds = publish.dataset_of(F.col("relevance.decision"), F.col("status"), F.col("recruit_end"), F.lit(fx.LISTING_TODAY).cast("date"))
-    return n.withColumns({"dataset": ds, "score": F.col("relevance.score"), "decision": F.col("relevance.decision"),
-                          "first_seen_ts": F.to_timestamp("first_seen_at"), "last_changed_ts": F.to_timestamp("last_changed_at")})
+    """Stored listings with their dataset (P1; null: not published) and flat columns."""
+    return run_of(spark, sf).listings()
 
 
 SCORED_SQL = f"""
@@ -51,18 +60,14 @@ sc AS (
 NOW_SQL = f"CAST('{fx.NOW_ISO}' AS TIMESTAMPTZ)"
 
 
-def _cols(df):
-    return {c: F.col(c) for c in ("title", "organizer", "summary", "source_name", "field_tags", "audience_tags")}
-
-
 def _quick(df, tag):
     return query.quick_tag_match(tag, F.col("first_seen_ts"), F.col("last_changed_ts"), F.col("d_day"), F.col("field_tags"), F.col("audience_tags"), now_ts())
 
 
 def _pred(df, f: Filters):
+    """All filters but search, which the trigram index answers."""
     return query.filter_predicate(f, is_adjacent=F.col("is_adjacent"), primary_type=F.col("primary_type"), status=F.col("status"),
-                                  field_tags=F.col("field_tags"), quick=_quick(df, f.quick) if f.quick else None,
-                                  haystack=query.listing_haystack(_cols(df)))
+                                  field_tags=F.col("field_tags"), quick=_quick(df, f.quick) if f.quick else None)
 
 
 def _sql_quick(tag: str) -> str:
@@ -93,6 +98,7 @@ def _sql_pred(f: Filters) -> str:
 
 F_FILTER = Filters(type="all", quick="AI", field="게임", status="open")
 F_SEARCH = Filters(search="  The AND ")
+F_SHORT = Filters(search=f" {tx.FIELD_LABELS['game']} q ")
 F_TABS = Filters(search="the", field="게임")
 F_QUICK = Filters(status="open")
 
@@ -105,10 +111,18 @@ def q_filter_listings(spark, sf):
 
 @register("search_terms", SCORED_SQL + f"SELECT ingest_seq, title FROM sc WHERE {_sql_pred(F_SEARCH)}")
 def q_search_terms(spark, sf):
-    s = scored(spark, sf)
+    """Q2 by the trigram index: rarest grams, intersection by count, then whole haystacks."""
+    s = run_of(spark, sf).matching(query.search_terms(F_SEARCH.search))
     return s.where(_pred(s, F_SEARCH)).select("ingest_seq", "title")
 
 
+@register("search_short_terms", SCORED_SQL + f"SELECT ingest_seq, title FROM sc WHERE {_sql_pred(F_SHORT)}")
+def q_search_short_terms(spark, sf):
+    """Q2 with terms of one and two characters: prefixes of the gram dictionary."""
+    s = run_of(spark, sf).matching(query.search_terms(F_SHORT.search))
+    return s.where(_pred(s, F_SHORT)).select("ingest_seq", "title")
+
+
 @register("quick_tag", SCORED_SQL + "SELECT ingest_seq, " + ", ".join(
     f"{_sql_quick(t)} AS q{i}" for i, t in enumerate(tx.QUICK_TAGS)) + " FROM sc")
 def q_quick_tag(spark, sf):
@@ -120,10 +134,12 @@ def q_quick_tag(spark, sf):
     [f"CAST(count_if({_sql_pred(Filters(type='all', quick=F_TABS.quick, search=F_TABS.search, field=F_TABS.field, status=F_TABS.status))}) AS BIGINT) AS n_all"]
     + [f"CAST(count_if({_sql_pred(Filters(type=t, quick=F_TABS.quick, search=F_TABS.search, field=F_TABS.field, status=F_TABS.status))}) AS BIGINT) AS n_{t}" for t in tx.TYPES]) + " FROM sc")
 def q_type_tab_counts(spark, sf):
-    """Q7: one conditional aggregate for the 'all' tab and the eight types."""
-    s = scored(spark, sf)
+    """Q7 under a search: one conditional aggregate for the 'all' tab and the
+    eight types over the listings that the index finds."""
+    s = run_of(spark, sf).matching(query.search_terms(F_TABS.search))
+
     def cnt(t):
-        f = Filters(type=t, quick=F_TABS.quick, search=F_TABS.search, field=F_TABS.field, status=F_TABS.status)
+        f = Filters(type=t, quick=F_TABS.quick, field=F_TABS.field, status=F_TABS.status)
         return F.count_if(_pred(s, f)).cast("bigint").alias(f"n_{t}")
     return s.agg(cnt("all"), *[cnt(t) for t in tx.TYPES])
 
@@ -132,16 +148,64 @@ def q_type_tab_counts(spark, sf):
     f"CAST(count_if({_sql_pred(Filters(type=F_QUICK.type, quick=t, search=F_QUICK.search, field=F_QUICK.field, status=F_QUICK.status))}) AS BIGINT) AS n_q{i}"
     for i, t in enumerate(tx.QUICK_TAGS)) + " FROM sc")
 def q_quick_tag_counts(spark, sf):
-    """Q8: quick-tag counts under the other filters, one pass."""
-    s = scored(spark, sf)
-    return s.agg(*[F.count_if(_pred(s, Filters(type=F_QUICK.type, quick=t, search=F_QUICK.search, field=F_QUICK.field, status=F_QUICK.status))).cast("bigint").alias(f"n_q{i}")
-                   for i, t in enumerate(tx.QUICK_TAGS)])
+    """Q8: quick-tag counts under the other filters, from the cube."""
+    c = facets.cells_for(run_of(spark, sf).cube().withColumn("tag", F.col("quick")).withColumn("quick", F.lit(facets.ANY)),
+                         type=F_QUICK.type, field=F_QUICK.field, status=F_QUICK.status)
+    return c.agg(*[_cube_sum(F.col("tag") == t).alias(f"n_q{i}") for i, t in enumerate(tx.QUICK_TAGS)])
+
+
+def _cube_sum(cond):
+    return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
+
+
+F_FACET = Filters(field=F_TABS.field)
+
+
+@register("type_tab_facets", SCORED_SQL + "SELECT " + ", ".join(
+    [f"CAST(count_if({_sql_pred(Filters(type=t, field=F_FACET.field))}) AS BIGINT) AS n_{t}" for t in ("all", *tx.TYPES)]) + " FROM sc")
+def q_type_tab_facets(spark, sf):
+    """Q7 without a search: tab counts from the cube."""
+    c = run_of(spark, sf).cube()
+    c = c.where((F.col("dataset") == facets.ANY) & (F.col("status") == facets.ANY) & (F.col("field") == F_FACET.field) & (F.col("quick") == facets.ANY))
+    return c.agg(_cube_sum((F.col("primary_type") == facets.ANY) & ~F.col("is_adjacent")).alias("n_all"),
+                 *[_cube_sum(F.col("primary_type") == t).alias(f"n_{t}") for t in tx.TYPES])
 
 
 @register("field_facet", SCORED_SQL + "SELECT DISTINCT unnest(field_tags) AS field FROM sc")
 def q_field_facet(spark, sf):
-    """Q9: distinct field tags (sorted on output)."""
-    return scored(spark, sf).select(F.explode("field_tags").alias("field")).distinct().orderBy("field")
+    """Q9: distinct field tags (sorted on output), from the cube."""
+    c = run_of(spark, sf).cube().where((F.col("dataset") == facets.ANY) & (F.col("primary_type") == facets.ANY) & (F.col("status") == facets.ANY)
+                                       & (F.col("quick") == facets.ANY) & (F.col("field") != facets.ANY))
+    return c.select("field").distinct().orderBy("field")
+
+
+def _cube_sql(rel: str, cols: str = "") -> str:
+    """The facet cube of a relation with the columns of ``sc``."""
+    quicks = "list_filter([" + ", ".join(f"CASE WHEN {_sql_quick(t)} THEN {sg.q(t)} END" for t in tx.QUICK_TAGS) + "], lambda x: x IS NOT NULL)"
+    roll = ", ".join(f"CASE WHEN grouping({c}) = 1 THEN '*' ELSE {c} END AS {c}" for c in facets.ROLLED)
+    return f"""
+, cube_rows AS (
+  SELECT coalesce(dataset, '') AS dataset, primary_type, coalesce(is_adjacent, false) AS is_adjacent, status,
+         list_distinct(field_tags) AS fields, {quicks} AS quicks FROM {rel}
+), cube_fields AS (SELECT * EXCLUDE (fields), unnest(list_append(fields, '*')) AS field FROM cube_rows),
+cube_tags AS (SELECT * EXCLUDE (quicks), unnest(list_append(quicks, '*')) AS quick FROM cube_fields)
+SELECT {roll}, is_adjacent, field, quick, CAST(count(*) AS BIGINT) AS n FROM cube_tags
+GROUP BY is_adjacent, field, quick, CUBE (dataset, primary_type, status)"""
+
+
+@register("facet_cube", (SCORED_SQL + _cube_sql("sc")).replace(")\n\n, cube_rows", "),\ncube_rows"))
+def q_facet_cube(spark, sf):
+    """Q7-Q9, Q12: every facet count of the run, by GROUPING SETS."""
+    return run_of(spark, sf).cube().select(*facets.DIMS, "n")
+
+
+@register("facet_cube_update", (SCORED_SQL + _cube_sql("sc")).replace(")\n\n, cube_rows", "),\ncube_rows"))
+def q_facet_cube_update(spark, sf):
+    """The previous run's cube plus the difference of the two runs is this run's."""
+    from tidemark.plans.q_history import previous
+    old = published.flat(previous(spark, sf).withColumnRenamed("prev_seq", "ingest_seq"), fx.PREVIOUS_TODAY).checkpoint()
+    then = F.to_timestamp(F.lit(fx.PREVIOUS_STAMP))
+    return facets.update_cube(facets.facet_cube(old, then), old, then, scored(spark, sf), now_ts(), "ingest_seq")
 
 
 SORT_SQL = {
@@ -158,7 +222,6 @@ SELECT ingest_seq, CAST(row_number() OVER (ORDER BY {SORT_SQL[mode]}, ingest_seq
     def q_sort(spark, sf):
         s = scored(spark, sf)
         s = s.where(_pred(s, Filters()))
-        s = s.withColumns({"last_seen_ts": F.col("first_seen_ts")})
         r = query.sort_rank(s, mode, "ingest_seq", first_seen="first_seen_ts", last_changed="last_changed_ts", last_seen="last_seen_ts")
         return r.select("ingest_seq", F.col("pos").cast("bigint").alias("pos"))
     return q_sort
@@ -177,7 +240,7 @@ FROM r, n WHERE pos > (least(2, pages) - 1) * 50 AND pos <= least(2, pages) * 50
 def q_page_listings(spark, sf):
     """Q11 on the active dataset, relevance order, page 2."""
     s = scored(spark, sf)
-    v = s.where((F.col("dataset") == "active") & _pred(s, Filters()))
+    v = s.where((F.col("dataset") == "active") & _pred(s, Filters())).select("ingest_seq", "score")
     out = query.page_slice(v, query.sort_order("relevance", "ingest_seq"), page=2)
     return out.select("ingest_seq", F.col("pos").cast("bigint"), F.col("page").cast("bigint"), F.col("total_pages").cast("bigint"))
 
@@ -186,17 +249,17 @@ def q_page_listings(spark, sf):
 SELECT CAST(count_if({_sql_quick('NEW')}) AS BIGINT) AS n_new, CAST(count_if({_sql_quick('UPDATED')}) AS BIGINT) AS n_updated,
        CAST(count_if({_sql_quick(tx.QUICK_TAGS[5])}) AS BIGINT) AS n_urgent FROM sc""")
 def q_freshness(spark, sf):
-    """Q12: counted over all rows, hidden ones included."""
-    s = scored(spark, sf)
-    return s.agg(F.count_if(_quick(s, "NEW")).cast("bigint").alias("n_new"), F.count_if(_quick(s, "UPDATED")).cast("bigint").alias("n_updated"),
-                 F.count_if(_quick(s, tx.QUICK_TAGS[5])).cast("bigint").alias("n_urgent"))
+    """Q12: counted over all rows, hidden ones included, from the cube."""
+    c = run_of(spark, sf).cube()
+    c = c.where((F.col("dataset") == facets.ANY) & (F.col("primary_type") == facets.ANY) & (F.col("status") == facets.ANY) & (F.col("field") == facets.ANY))
+    return c.agg(*[_cube_sum(F.col("quick") == t).alias(n) for t, n in ((tx.QUICK_TAGS[3], "n_new"), (tx.QUICK_TAGS[4], "n_updated"), (tx.QUICK_TAGS[5], "n_urgent"))])
 
 
 @register("dataset_scan", SCORED_SQL + "SELECT ingest_seq, id, status, CAST(d_day AS BIGINT) AS d_day FROM sc WHERE dataset = 'active'")
 def q_dataset_scan(spark, sf):
-    """Q13: one dataset."""
-    s = scored(spark, sf)
-    return s.where(F.col("dataset") == "active").select("ingest_seq", "id", "status", F.col("d_day").cast("bigint"))
+    """Q13: one dataset, a partition of the stored run."""
+    s = run_of(spark, sf).listings("active")
+    return s.select("ingest_seq", "id", "status", F.col("d_day").cast("bigint"))
 
 
 def _sql_label(mapping: dict, col: str) -> str:

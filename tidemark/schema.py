@@ -1,8 +1,14 @@
-"""Record shapes: raw listing, source record, canonical listing, run status."""
+"""Record shapes: raw listing, source record, canonical listing, run status.
+Column names, types and defaults are fixed values: the stored records have them."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import types as T
 
+from tidemark.config import taxonomy as tx
+from tidemark.functions.shapes import Flag, Items, Record, Text, Whole
+
 # Raw listing columns with (type, default). Text defaults are '', URLs and
 # dates null, kind 'aggregate', priority 40, date kind and fee 'unknown'.
 RAW_DEFAULTS = {
@@ -86,6 +92,41 @@ LISTING_COLUMNS = [f.name for f in LISTING_SCHEMA.fields]
 REQUIRED_LISTING = ("id", "title", "source_name", "source_url", "organizer", "summary", "primary_type",
                     "field_tags", "audience_tags", "status", "relevance", "first_seen_at", "last_seen_at")
 
+# ---- shapes of stored records (see functions/shapes.py)
+SOURCE_SHAPE = Record({
+    "source_id": Text(), "source_name": Text(), "source_url": Text(), "source_post_id": Text(null=True),
+    "kind": Text(null=True), "priority": Whole(null=True), "fetched_at": Text(null=True),
+}, required=("source_id", "source_name", "source_url"))
+RELEVANCE_SHAPE = Record({"score": Whole(), "reasons": Items(Text()), "decision": Text()}, required=("score", "reasons", "decision"))
+_NESTED = {"relevance": RELEVANCE_SHAPE, "sources": Items(SOURCE_SHAPE)}
+
+
+def _shape_of(f: T.StructField) -> object:
+    free = f.name not in REQUIRED_LISTING
+    if f.name in _NESTED:
+        return _NESTED[f.name]
+    if isinstance(f.dataType, T.ArrayType):
+        return Items(Text(), null=free)
+    return {T.StringType: Text, T.IntegerType: Whole, T.BooleanType: Flag}[type(f.dataType)](null=free)
+
+
+# V6: a record converts if it has these keys and no others, at every level.
+LISTING_SHAPE = Record({f.name: _shape_of(f) for f in LISTING_SCHEMA.fields}, required=REQUIRED_LISTING)
+# Re-reading drops unknown keys of the record itself, not those inside it.
+REREAD_SHAPE = replace(LISTING_SHAPE, closed=False)
+# The published schema; further keys may occur.
+PUBLISHED_SHAPE = Record({
+    "id": Text(least=8), "title": Text(least=1), "source_name": Text(), "source_url": Text(), "organizer": Text(least=1),
+    "summary": Text(least=60, most=180), "status": Text(among=tx.STATUSES), "date_kind": Text(among=tx.DATE_KINDS),
+    "primary_type": Text(among=tx.TYPES), "field_tags": Items(Text()), "audience_tags": Items(Text()),
+    "first_seen_at": Text(), "last_seen_at": Text(),
+    "sources": Items(Record({"source_id": Text(least=1), "source_name": Text(least=1), "source_url": Text(), "kind": Text(least=1), "priority": Whole()},
+                            required=("source_id", "source_name", "source_url", "kind", "priority"), closed=False), least=1),
+    "relevance": Record({"score": Whole(least=0, most=100), "reasons": Items(Text()), "decision": Text(among=("publish", "review", "exclude"))},
+                        required=("score", "reasons", "decision"), closed=False),
+}, required=("id", "title", "source_name", "source_url", "organizer", "status", "summary", "primary_type", "field_tags", "audience_tags",
+             "first_seen_at", "last_seen_at", "sources", "date_kind", "relevance"), closed=False)
+
 RUN_STATUS_SCHEMA = T.StructType([
     T.StructField("source_id", T.StringType()),
     T.StructField("source_name", T.StringType()),

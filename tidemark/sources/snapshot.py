@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import SCHEMA_VERSION
-from tidemark.schema import LISTING_SCHEMA, REQUIRED_LISTING
+from tidemark.functions.shapes import document_faults
+from tidemark.schema import LISTING_SCHEMA, REREAD_SHAPE
 
 def is_missing_path(error: AnalysisException) -> bool:
     """Whether a read failed only because nothing has been written there yet;
@@ -25,21 +26,24 @@ def is_missing_path(error: AnalysisException) -> bool:
 DATASETS = ("active", "undated", "closed", "review")
 
 
-def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    """S1 + S2: explicit-schema read; a missing path gives an empty result;
-    unknown fields are dropped; rows that fail conversion or miss a required
-    field are skipped."""
-    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+def read_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """JSON-lines text, one record a row (``value``); None if nothing is there."""
     try:
-        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+        return spark.read.text(path)
     except AnalysisException as e:
         if not is_missing_path(e):
             raise
+        return None
+
+
+def read_listings(spark: SparkSession, path: str) -> DataFrame:
+    """S1 + S2: a missing path gives an empty result. Unknown keys of a record are
+    dropped; a record is skipped if it is no JSON, lacks a required key, holds a
+    value of another type, or an unknown key in a nested record."""
+    lines = read_lines(spark, path)
+    if lines is None:
         return spark.createDataFrame([], LISTING_SCHEMA)
-    ok = F.col("_corrupt_record").isNull()
-    for c in REQUIRED_LISTING:
-        ok = ok & F.col(c).isNotNull()
-    return df.where(ok).drop("_corrupt_record")
+    return from_json_lines(lines.where(F.size(document_faults(REREAD_SHAPE, F.col("value"))) == 0))
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
