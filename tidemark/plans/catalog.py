@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its ``register`` calls run."""
-    from tidemark.plans import q_core, q_curation, q_dedupe, q_extract, q_history, q_io, q_layouts, q_listings, q_quality, q_query, q_run  # noqa: F401
+    from tidemark.plans import q_core, q_curation, q_dedupe, q_extract, q_history, q_io, q_layouts, q_listings, q_pages, q_quality, q_query, q_run  # noqa: F401

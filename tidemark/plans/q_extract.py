@@ -32,6 +32,7 @@ def _resolve_sql(base: str, href: str) -> str:
 
 
 ANCHOR_SQL = extract.ANCHOR_RE
+TITLE_TAG = r"(?is)<title[^>]*>(.*?)</title>"
 
 
 def _unescape_sql(e: str) -> str:
@@ -167,7 +168,7 @@ WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, {sg.q(ANCHOR_SQL
                   unnest(range(len(regexp_extract_all(html, {sg.q(ANCHOR_SQL)})))) AS pos FROM pages),
 b AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {_resolve_sql('url', "regexp_extract(a, " + sg.q(ANCHOR_SQL) + ", 1)")} AS link,
              {sg.collapse(_unescape_sql("regexp_extract(a, " + sg.q(ANCHOR_SQL) + ", 2)"))} AS text FROM a),
-d AS (SELECT url AS link, arg_min({sg.collapse(_unescape_sql("regexp_extract(html, " + sg.q(extract.TITLE_TAG) + ", 1)"))}, page_id) AS d_title FROM pages GROUP BY url)
+d AS (SELECT url AS link, arg_min({sg.collapse(_unescape_sql("regexp_extract(html, " + sg.q(TITLE_TAG) + ", 1)"))}, page_id) AS d_title FROM pages GROUP BY url)
 SELECT b.page_id, b.pos, b.link, d.d_title IS NOT NULL AS has_detail, coalesce(d.d_title, b.text) AS title,
        CASE WHEN d.d_title IS NULL THEN {sg.q(tx.DETAIL_DEFAULT)} END AS summary
 FROM b LEFT JOIN d USING (link)""")
