@@ -89,9 +89,10 @@ FOLD_COMMON = ((0x00, 0xB4), (0xB6, 0xFF), (0x2000, 0x206F), (0x3000, 0x9FFF), (
 
 
 @lru_cache(maxsize=1)
-def beyond_common_class() -> str:
-    """Regex class of the characters outside :data:`FOLD_COMMON`."""
-    return "[^" + "".join(f"{_cp(chr(a))}-{_cp(chr(b))}" for a, b in FOLD_COMMON) + "]"
+def common_text() -> str:
+    """Regex of texts within :data:`FOLD_COMMON`; possessive, so that Java scans
+    runs in loops and never goes back."""
+    return r"\A(?:[\x00-\x7F]++|[" + "".join(f"{_cp(chr(a))}-{_cp(chr(b))}" for a, b in FOLD_COMMON) + r"]++)*+\z"
 
 
 def fold(col: Column) -> Column:
@@ -107,7 +108,7 @@ def fold(col: Column) -> Column:
     full = F.translate(low, src, dst)
     for s, d in multi:
         full = F.replace(full, F.lit(s), F.lit(d))
-    return F.when(low.rlike(beyond_common_class()) & low.rlike(fold_rare_class()), full).otherwise(F.replace(low, F.lit("\u00df"), F.lit("ss")))
+    return F.when(~low.rlike(common_text()) & low.rlike(fold_rare_class()), full).otherwise(F.replace(low, F.lit("\u00df"), F.lit("ss")))
 
 
 def collapse_ws(col: Column) -> Column:

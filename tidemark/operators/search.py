@@ -18,9 +18,9 @@ Terms of three or more characters probe their rarest grams by the dictionary
 their range. Candidates are then verified on their whole haystacks, of which
 only the blocks that hold candidates are read.
 
-Hot grams: postings are range partitioned by (part, gram, id), so a gram that
-every row holds spreads over as many tasks and files as its rows fill, and a
-search counts it with partial aggregation.
+Hot grams: postings are dealt by part and rebalanced by size, so a part with a
+gram that every row holds is split over as many tasks and files as its rows
+fill, and a search counts it with partial aggregation.
 """
 from __future__ import annotations
 
@@ -106,7 +106,7 @@ def build_index(rows: DataFrame, key: str, haystack: Column, path: str, parts: i
     stored = spark.read.schema("id long, haystack string, block int").parquet(f"{base}/texts").select("id", "haystack")
     order = ["part", "gram", "id"]
     postings = _explode_grams(stored).withColumn("part", part_of(F.col("gram"), parts))
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{base}/postings")
+    postings.hint("rebalance", "part").sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{base}/postings")
     found = SearchIndex(spark, base, parts, blocks)
     grams = found.postings().groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))
     grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{base}/grams")

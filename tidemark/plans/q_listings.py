@@ -13,7 +13,7 @@ from tidemark.operators import normalize as nz
 from tidemark.plans import sqlgen as sg
 from tidemark.plans.catalog import register
 from tidemark.sources import fixtures as fx
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 TAX = fx.LATIN_TAXONOMY
 NORM_CTES, NORM = sg.normalized_ctes(TAX, fx.LISTING_TODAY, fx.NOW_ISO)
@@ -53,7 +53,7 @@ def q_match_key(spark, sf):
 SELECT doc_id, lang, md5({sg.fold_text('text')}) AS folded_md5, CAST(length({sg.fold_text('text')}) AS BIGINT) AS folded_len
 FROM documents""")
 def q_fold_text(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     f = tf.fold_text(F.col("text"))
     return d.select("doc_id", "lang", F.md5(f).alias("folded_md5"), F.length(f).cast("bigint").alias("folded_len"))
 

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 # Fixed clock for the fixtures (never the wall clock).
 NOW_ISO = "2024-01-31T12:00:00+09:00"
@@ -82,7 +82,7 @@ def sql_select(cols: dict[str, str], source: str, where: str | None = None) -> s
 
 
 def listings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(table(spark, sf_dir, "documents"), LISTINGS_SQL)
+    return _project(spread(table(spark, sf_dir, "documents")), LISTINGS_SQL)
 
 
 def deadlines_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ PREVIOUS_TODAY = "2024-01-20"
 
 def previous_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.normalize import with_raw_defaults
-    return with_raw_defaults(_project(table(spark, sf_dir, "documents").where(PREVIOUS_WHERE), PREVIOUS_SQL))
+    return with_raw_defaults(_project(spread(table(spark, sf_dir, "documents")).where(PREVIOUS_WHERE), PREVIOUS_SQL))
 
 
 def previous_view_sql() -> str:
