@@ -33,7 +33,7 @@ def test_edit_distance():
 
 
 def test_pieces_survive_the_allowed_edits():
-    for n in range(D.MIN_WORDS, 120):
+    for n in range(5, 120):
         h = np.arange(n, dtype=np.uint64)
         cut = D.pieces_of(h)
         assert len(cut) == D.allowed(n) + 1 and all(size >= 2 and o + size <= n for o, size in cut)
@@ -100,5 +100,24 @@ def test_long_items_at_the_full_fifth_of_edits(spark):
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert all(i == [d] for d, i in want)
-    for shared in (D.SHARED, 0):     # all pieces checked exactly, all through the hashing
-        assert sorted(((r["doc_id"], r["item_ids"]) for r in D.decontaminate(*frames, shared=shared).collect()), key=str) == want
+    assert sorted(((r["doc_id"], r["item_ids"]) for r in D.decontaminate(*frames).collect()), key=str) == want
+
+
+def test_short_items_match_exact_copies_only(spark):
+    items = [(1, "One"), (2, "two  words"), (3, "a b c d"), (4, "  "), (5, "a b c d e")]
+    docs = [(1, "this one is"), (2, "TWO words"), (3, "two other words"), (4, "x a b c d y"), (5, "a b x d"), (6, "a b c x d e"), (7, ""), (8, "ones")]
+    out = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in out} == {1: [1], 2: [2], 3: [], 4: [3, 5], 5: [], 6: [5], 7: [], 8: []}
+
+
+def test_registered_query_goes_through_the_hashing(spark, monkeypatch):
+    """Every hit of the given tables is found by keys, as brute force finds it."""
+    from tidemark.llm import queries as Q
+    made = []
+    hashed = D.hashed
+    monkeypatch.setattr(D, "hashed", lambda *a: (made.append(hashed(*a)), made[-1])[1])
+    out = Q.op2_decontaminate(spark, "/root/testdata/sf0.001").collect()
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    assert sorted(((r["doc_id"], r["item_ids"]) for r in out), key=str) == brute(docs, items)
+    assert made[0].count() >= sum(r["n_items"] for r in out) > 0

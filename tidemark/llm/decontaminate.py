@@ -9,20 +9,19 @@ with a word edit distance of at most a fifth of the item's words (similarity
    in a bitmap of fixed size that holds these pieces; hits, with the words
    around them, are joined with the pieces and give the item-sized windows that
    can match at all. This loses nothing.
-2. *Pieces of few items.* Every window whose piece at most ``SHARED`` different
-   items hold goes to the exact check with these items, so nothing is lost.
-3. *CGK*, for pieces that more items share, where all pairs would be too many.
-   Each window walks through its words by random bits; the walk's output turns
-   edit distance into Hamming distance. In each of ``REPEATS`` repetitions
+2. *CGK.* Each window walks through its words by random bits; the walk's output
+   turns edit distance into Hamming distance. In each of ``REPEATS`` repetitions
    ``samples_of(n)`` positions of the output make the key. Items get keys
    likewise. Windows start at the position that the piece implies and at steps
-   around it. The LSH join of the keys gives candidates. Recall aimed at is 0.99
+   around it, and only their keys that a bitmap of the items' keys may hold go on.
+   The LSH join of the keys gives candidates. Recall aimed at is 0.99
    at a fifth of edits, so longer items have fewer positions in a key.
-4. *Exact check*: the item is aligned with the surroundings of the window, if
-   these hold enough of its words.
+3. *Exact check*: the item is aligned with the surroundings of the window, if
+   these hold enough of its words. Items under five words allow no edit, so they
+   match exact copies only.
 
-Defined results: null and empty texts are clean; items under ``MIN_WORDS``
-words, or with null text, match nothing; repeated items are reported each; rows
+Defined results: null and empty texts are clean; items without a word, or with
+null text, match nothing; repeated items are reported each; rows
 are judged by id and text, so repeated rows get equal results; null ids are
 ordinary; further columns are ignored.
 """
@@ -41,8 +40,7 @@ from tidemark.llm.store import saved
 from tidemark.llm.text import mix, slices, words
 
 SIMILAR = 80          # hundredths of the item's words
-MIN_WORDS = 5
-SHARED = 64           # different items of a piece up to which all are checked
+MIN_WORDS = 1
 REPEATS = 64
 SHIFTS = 7            # starts tried around the implied one
 BITMAP = 1 << 24      # bits of the piece filter
@@ -212,23 +210,55 @@ def shifts(k: int) -> list[int]:
     return sorted({round(x) for x in np.linspace(-k, k, SHIFTS)} | {0})
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR, shared: int = SHARED) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, th, item_id): items that occur in the texts of ``documents``
     (doc_id, th, text)."""
     items = saved(items_of(benchmark, similar), "items")
     seeds = saved(seeds_of(items, similar), "seeds")
     found = saved(regions(documents, seeds), "regions")
     row = ["doc_id", "th", "base"]
+    near = hashed(found, items, seeds, similar).groupBy(*row, "ih").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    texts = items.select("ih", "n", "hashes").dropDuplicates(["ih"])
+    pairs = near.join(texts.withColumnRenamed("hashes", "item"), "ih")
+    pairs = pairs.select(*(F.col(c).alias(f"_{c}") for c in row), "ih", "lo", "hi", "n", "item")
+    pairs = found.select(*row, "hashes").join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")) & (F.col("base") == F.col("_base")))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = []
+            for r in pdf.itertuples(index=False):
+                h, item = np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.item, np.uint64)
+                k = allowed(r.n, similar)
+                part = h[max(0, r.lo - 2 * k):r.hi + r.n + 2 * k]
+                good.append(np.isin(item, part).sum() >= r.n - k and edit_distance(item, part) <= k)
+            yield pdf.loc[good, ["doc_id", "th", "ih"]]
+
+    good = pairs.select(*row, "hashes", "ih", "lo", "hi", "n", "item").mapInPandas(verify, "doc_id long, th long, ih long").distinct()
+    return good.join(items.select("ih", "item_id"), "ih").select("doc_id", "th", "item_id").distinct()
+
+
+def hashed(found: DataFrame, items: DataFrame, seeds: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(doc_id, th, base, ih, lo, hi): windows of the regions ``found`` that agree
+    with an item in a key, by the first and the last start."""
+    row = ["doc_id", "th", "base"]
+
+    def embed_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, part in pdf.groupby("n"):
+                keys = cgk_keys(np.stack([np.frombuffer(x, np.uint64) for x in part["hashes"]]), int(n))
+                yield pd.DataFrame({"ih": np.repeat(part["ih"].to_numpy(), REPEATS), "n": n, "key": keys.reshape(-1)})
+
+    texts = items.select("ih", "n", "hashes").dropDuplicates(["ih"])
+    item_keys = saved(texts.mapInPandas(embed_items, "ih long, n long, key long"), "item-keys")
+    bits, _, _ = _bitmap(item_keys.select(F.col("key").alias("gram"), F.lit(0).alias("size"), "n"))
+    shared = found.sparkSession.sparkContext.broadcast(bits)   # BITMAP / 8 bytes
     hits = found.select(*row, F.explode("hits").alias("hit")).select(*row, "hit.at", "hit.gram")
-    owners = seeds.groupBy("gram").agg(F.countDistinct("ih").alias("owners"))
-    seeds = saved(seeds.join(owners, "gram").select("gram", F.col("at").alias("offset"), "n", "ih", (F.col("owners") > shared).alias("common")), "owners")
-    start = (F.col("at") - F.col("offset")).alias("start")
-    few = hits.join(seeds.where("not common"), "gram").select(*row, "ih", start)
-    few = few.groupBy(*row, "ih").agg(F.min("start").cast("long").alias("lo"), F.max("start").cast("long").alias("hi"))
-    starts = hits.join(seeds.where("common").select("gram", "offset", "n").distinct(), "gram").select(*row, start, "n").distinct()
+    implied = seeds.select("gram", F.col("at").alias("offset"), "n").distinct()
+    starts = hits.join(implied, "gram").select(*row, (F.col("at") - F.col("offset")).alias("start"), "n").distinct()
     lists = starts.groupBy(*row).agg(F.collect_list(F.struct("start", "n")).alias("windows"))
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.unpackbits(shared.value).astype(bool)
         for pdf in batches:
             groups: dict[int, list[tuple[int, int, np.ndarray]]] = {}
             for i, (raw, windows) in enumerate(zip(pdf["hashes"], pdf["windows"], strict=True)):
@@ -241,48 +271,23 @@ def matches(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR,
                             part[:len(h[s:s + n])] = h[s:s + n]
                             groups.setdefault(n, []).append((i, s, part))
             for n, rows in groups.items():
-                keys = cgk_keys(np.stack([r[2] for r in rows]), n)
-                out = pd.DataFrame({"at": np.repeat([r[0] for r in rows], REPEATS), "key": keys.reshape(-1), "start": np.repeat([r[1] for r in rows], REPEATS)})
+                keys = cgk_keys(np.stack([r[2] for r in rows]), n).reshape(-1)
+                may = known[keys.view(np.uint64) % np.uint64(BITMAP)]
+                out = pd.DataFrame({"at": np.repeat([r[0] for r in rows], REPEATS)[may], "key": keys[may], "start": np.repeat([r[1] for r in rows], REPEATS)[may]})
                 out = out.groupby(["at", "key"])["start"].agg(["min", "max"]).reset_index()
                 yield pdf.iloc[out["at"]][row].assign(lo=out["min"].to_numpy(), hi=out["max"].to_numpy(), n=n, key=out["key"].to_numpy())
 
-    def embed_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for n, part in pdf.groupby("n"):
-                keys = cgk_keys(np.stack([np.frombuffer(x, np.uint64) for x in part["hashes"]]), int(n))
-                yield pd.DataFrame({"ih": np.repeat(part["ih"].to_numpy(), REPEATS), "n": n, "key": keys.reshape(-1)})
-
     cut = found.join(lists.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("base").alias("_b"), "windows"),
                      F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("base") == F.col("_b")))
     keys = cut.select(*row, "hashes", "windows").mapInPandas(embed, "doc_id long, th long, base long, lo long, hi long, n long, key long")
-    texts = saved(items.select("ih", "n", "hashes").dropDuplicates(["ih"]), "texts")
-    sharing = texts.join(seeds.where("common").select("ih").distinct(), "ih", "left_semi")
-    item_keys = sharing.mapInPandas(embed_items, "ih long, n long, key long")
-    near = few.unionByName(keys.join(item_keys, ["key", "n"]).select(*row, "ih", "lo", "hi"))
-    near = near.groupBy(*row, "ih").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = near.join(texts.withColumnRenamed("hashes", "item"), "ih")
-    pairs = pairs.select(*(F.col(c).alias(f"_{c}") for c in row), "ih", "lo", "hi", "n", "item")
-    pairs = found.select(*row, "hashes").join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")) & (F.col("base") == F.col("_base")))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            good = []
-            for r in pdf.itertuples(index=False):
-                h, item = np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.item, np.uint64)
-                k = allowed(r.n, similar)
-                part = h[max(0, r.lo - 2 * k):r.hi + r.n + 2 * k]
-                good.append(np.isin(item, part).sum() >= r.n - k and edit_distance(item, part) <= k)
-            yield pdf.loc[good, ["doc_id", "th", "ih"]]
-
-    good = pairs.select(*row, "hashes", "ih", "lo", "hi", "n", "item").mapInPandas(verify, "doc_id long, th long, ih long").distinct()
-    return good.join(items.select("ih", "item_id"), "ih").select("doc_id", "th", "item_id").distinct()
+    return keys.join(item_keys, ["key", "n"]).select(*row, "ih", "lo", "hi")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR, shared: int = SHARED) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row per row of ``documents``: doc_id, th (hash of the text),
     contaminated, n_items and item_ids (ascending)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
-    found = matches(docs, benchmark, similar, shared).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    found = matches(docs, benchmark, similar).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     found = saved(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "item_ids"), "contaminated")
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     return docs.select("doc_id", "th").join(found, on, "left").select(
