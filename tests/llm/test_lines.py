@@ -71,6 +71,53 @@ def test_store_is_reversible(spark, tmp_path):
     assert s._read("refs").count() == 0
 
 
+class Killed(Exception):
+    pass
+
+
+def test_store_survives_reopening_and_lost_runs(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    pool = [f"shared line number {k} of the pool" for k in range(8)]
+    text = {i: "\n".join([*rng.sample(pool, 3), f"only document {i} holds this line"]) for i in range(30)}
+    docs = lambda ids: spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
+    path = f"file://{tmp_path}/store"
+    store = lambda: L.LineStore(spark, path, shards=4)
+    alive: set[int] = set()
+
+    def check(s):
+        got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in s.apply(docs(sorted(alive))).collect()), key=str)
+        assert got == brute([(i, text[i]) for i in sorted(alive)])
+
+    assert store().version == 0 and store().apply(docs([1])).first()["n_dropped"] == 0
+    for version, (what, ids) in enumerate([("insert", range(0, 12)), ("insert", range(8, 20)), ("delete", [19, 11, 3]), ("insert", range(20, 30)), ("delete", range(15, 30)), ("insert", [29])], 1):
+        with monkeypatch.context() as m:   # the first try dies before its version is complete
+            def dies(*_):
+                raise Killed
+            m.setattr(L.LineStore, "_finish", dies)
+            with pytest.raises(Killed):
+                getattr(store(), what)(docs(ids))
+        assert store().version == version - 1
+        s = store()
+        getattr(s, what)(docs(ids))
+        alive = alive | set(ids) if what == "insert" else alive - set(ids)
+        assert s.version == store().version == version
+        check(store())
+        want = sorted(map(tuple, L.count_references(L.references(docs(sorted(alive)))).collect()))
+        assert sorted(map(tuple, store()._read("counts").collect())) == want
+    with pytest.raises(ValueError):
+        L.LineStore(spark, path, min_docs=4)
+
+
+def test_shards_grow_with_the_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_KEYS", 20)
+    docs = lambda lo, hi: spark.createDataFrame([(i * 3 + j, f"line number {i} that three documents hold") for i in range(lo, hi) for j in range(3)], "doc_id long, text string")
+    s = L.LineStore(spark, f"file://{tmp_path}/store", shards=2)
+    s.insert(docs(0, 30))
+    s.insert(docs(30, 130))
+    assert s.shards == 7 and L.LineStore(spark, s.path).shards == 7
+    assert sum(r["n_dropped"] for r in s.apply(docs(0, 130)).collect()) == 260
+
+
 @pytest.mark.parametrize("line, counts", [("x" * 19, False), ("x" * 20, True), ("é" * 20, True), ("é" * 19, False), ("  " + "y" * 19 + " ", False)])
 def test_key_length_is_in_code_points(line, counts):
     assert (L.line_key(line) is not None) is counts

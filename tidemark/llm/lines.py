@@ -30,9 +30,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import saved
+from tidemark.sources.snapshot import is_missing_path
+
 MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 1 << 16     # distinct keys per shard, about
@@ -255,39 +259,91 @@ def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 class LineStore:
-    """State kept as Parquet under ``path`` (a shared folder), one folder per
-    version: ``refs``, ``counts`` and ``filters``. A version is complete once
-    ``shards`` is written, so a run that dies leaves the last one in force."""
+    """Reversible state kept as Parquet under ``path`` (a shared folder), one
+    folder per version: ``delta`` (the references added and withdrawn), ``counts``,
+    ``filters``, and ``done`` (version, shards, min_docs), written last. Opening a
+    store finds its newest version with ``done``, so a run that dies leaves the last
+    one in force, and the next run writes over what it left.
+
+    Counts are kept up by adding and subtracting; only keys whose largest document
+    is withdrawn are looked up in the references again. The number of shards grows
+    with the keys, so a shard's filter and task stay of one size."""
 
     def __init__(self, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, shards: int = MIN_SHARDS):
-        self.spark, self.path, self.min_docs, self.shards, self.version = spark, path.rstrip("/"), min_docs, shards, 0
+        self.spark, self.path, self.min_docs = spark, path.rstrip("/"), min_docs
+        self.version, self.shards = 0, shards
+        try:
+            done = spark.read.schema("version int, shards int, min_docs int").parquet(f"{self.path}/v*/done")
+        except AnalysisException as e:
+            if not is_missing_path(e):
+                raise
+            return
+        last = done.orderBy(F.col("version").desc()).first()
+        if last is not None:
+            if last["min_docs"] != min_docs:
+                raise ValueError(f"the store was built for keys of {last['min_docs']} documents")
+            self.version, self.shards = last["version"], last["shards"]
 
     def _read(self, name: str) -> DataFrame:
+        if name == "refs":
+            return _held(self._history())
         return self.spark.read.parquet(f"{self.path}/v{self.version}/{name}")
 
+    def _history(self, upto: int | None = None) -> DataFrame:
+        """(doc_id, hi, lo, sign) of all versions: 1 added, -1 withdrawn."""
+        paths = [f"{self.path}/v{k}/delta" for k in range(1, (self.version if upto is None else upto) + 1)]
+        shape = "doc_id long, hi long, lo long, sign long"
+        return self.spark.read.schema(shape).parquet(*paths) if paths else self.spark.createDataFrame([], shape)
+
     def _droppable(self, counts: DataFrame) -> DataFrame:
         return counts.where(F.col("n_docs") >= self.min_docs).select("hi", "lo")
 
-    def _write(self, refs: DataFrame) -> None:
-        at = f"{self.path}/v{self.version + 1}"
-        refs.distinct().write.mode("overwrite").parquet(f"{at}/refs")
-        count_references(self.spark.read.parquet(f"{at}/refs")).write.mode("overwrite").parquet(f"{at}/counts")
+    def _write(self, delta: DataFrame) -> None:
+        at, key = f"{self.path}/v{self.version + 1}", ["hi", "lo"]
+        delta.select("doc_id", "hi", "lo", F.col("sign").cast("long").alias("sign")).write.mode("overwrite").parquet(f"{at}/delta")
+        change = self.spark.read.parquet(f"{at}/delta").groupBy(*key).agg(
+            F.sum("sign").alias("change"), F.max(F.when(F.col("sign") > 0, F.col("doc_id"))).alias("added"), F.max(F.when(F.col("sign") < 0, F.col("doc_id"))).alias("gone"))
+        empty = "hi long, lo long, n_docs long, last_doc long"
+        old = self._read("counts") if self.version else self.spark.createDataFrame([], empty)
+        both = old.join(change, key, "full").select(
+            *key, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("change", F.lit(0))).alias("n_docs"),
+            F.when(F.col("gone") == F.col("last_doc"), F.lit(None)).otherwise(F.greatest("last_doc", "added")).alias("last_doc")).where("n_docs > 0")
+        both = saved(both, "line-counts")
+        lost = both.where("last_doc is null").select(*key)
+        found = _held(self._history(self.version + 1).join(lost, key, "left_semi")).groupBy(*key).agg(F.max("doc_id").alias("_last"))
+        counts = both.join(found, key, "left").select(*key, "n_docs", F.coalesce("last_doc", "_last").alias("last_doc"))
+        counts.write.mode("overwrite").parquet(f"{at}/counts")
         counts = self.spark.read.parquet(f"{at}/counts")
-        if self.version:
-            filters = update_filters(self._read("filters"), self._droppable(self._read("counts")), self._droppable(counts), self.shards)
+        shards = max(self.shards, -(-counts.count() // SHARD_KEYS))
+        if self.version and shards == self.shards:
+            filters = update_filters(self._read("filters"), self._droppable(self._read("counts")), self._droppable(counts), shards)
         else:
-            filters = build_filters(self._droppable(counts), self.shards)
+            filters = build_filters(self._droppable(counts), shards)
         filters.write.mode("overwrite").parquet(f"{at}/filters")
-        self.version += 1
+        self._finish(at, shards)
+        self.version, self.shards = self.version + 1, shards
+
+    def _finish(self, at: str, shards: int) -> None:
+        row = [(self.version + 1, shards, self.min_docs)]
+        self.spark.createDataFrame(row, "version int, shards int, min_docs int").write.mode("overwrite").parquet(f"{at}/done")
 
     def insert(self, documents: DataFrame) -> None:
-        new = references(documents)
-        self._write(self._read("refs").unionByName(new) if self.version else new)
+        """Add documents; lines that a document was added with before count once."""
+        new = saved(references(documents).distinct(), "line-refs")
+        held = _held(self._history().join(new.select("doc_id").distinct(), "doc_id", "left_semi"))
+        self._write(new.join(held, ["doc_id", "hi", "lo"], "left_anti").withColumn("sign", F.lit(1)))
 
     def delete(self, documents: DataFrame) -> None:
         """Withdraw documents (by ``doc_id``); lines that are then rare again stop being dropped."""
         gone = documents.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        self._write(self._read("refs").join(gone, "doc_id", "left_anti"))
+        self._write(_held(self._history().join(gone, "doc_id", "left_semi")).withColumn("sign", F.lit(-1)))
 
     def apply(self, documents: DataFrame) -> DataFrame:
+        if not self.version:
+            return remove_lines(documents, self.spark.createDataFrame([], "doc_id long, hi long, lo long"))
         return apply_counts(documents, references(documents), self._read("counts"), self._read("filters"), self.shards, self.min_docs)
+
+
+def _held(history: DataFrame) -> DataFrame:
+    """The references in force after a history of additions and withdrawals."""
+    return history.groupBy("doc_id", "hi", "lo").agg(F.sum("sign").alias("n")).where("n > 0").select("doc_id", "hi", "lo")
