@@ -102,3 +102,14 @@ def test_repeated_ids_reach_the_driver_once(spark, monkeypatch):
     texts, toxic = T.training_rows(docs, labels)
     assert texts == [""] + [f"text {i} 0" for i in ids[1:]] and toxic.tolist() == [i % 2 for i in ids]
     assert [len(s) for s in seen] == [len(ids)] * 2
+
+
+def test_hundreds_of_languages():
+    rng = np.random.default_rng(4)
+    scores = rng.normal(size=(60, 300))
+    scores[:30, 250] += 40
+    scores[30:, 7] += 40
+    labels = L.viterbi(scores, np.array([0, 60]))
+    assert labels.tolist() == [250] * 30 + [7] * 30
+    best, share = L.decide(labels, np.repeat([3, 1], 30), np.array([0, 60]), 300)
+    assert best.tolist() == [250] and share[0] == 0.75

@@ -179,14 +179,15 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     that still have words."""
     n = np.diff(first)
     total, k = scores.shape
-    labels = np.zeros(total, np.int8)
+    kind = np.int8 if k <= 128 else np.int32     # of a label
+    labels = np.zeros(total, kind)
     if not total:
         return labels
     order = np.argsort(-n, kind="stable")
     begin, n = first[:-1][order], n[order]
     active = np.searchsorted(-n, -np.arange(n[0]), "left")  # documents with more than t words
     stay = np.zeros((total, k), bool)    # whether the best way to a state keeps its label
-    came = np.zeros(total, np.int8)      # else the label it comes from
+    came = np.zeros(total, kind)         # else the label it comes from
     v = np.zeros((len(n), k))
     for t in range(n[0]):
         m = active[t]
