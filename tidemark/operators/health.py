@@ -63,3 +63,20 @@ def run_statuses(outcomes: DataFrame, previous: DataFrame, counts: DataFrame | N
         F.when(ok, F.col("run_stamp")).otherwise(F.col("p_last")).alias("last_success_at"),
         F.when(ok, F.lit(None).cast("string")).otherwise(F.substring(F.col("error"), 1, 500)).alias("error"),
     )
+
+
+def change_counts(items: DataFrame, run_stamp: str) -> DataFrame:
+    """(source_id, new_count, changed_count): listings first seen, or changed,
+    in the run of ``run_stamp``. A listing counts once for each of its sources."""
+    per = items.select(F.explode(F.array_distinct(F.transform("sources", lambda s: s["source_id"]))).alias("source_id"), "first_seen_at", "last_changed_at")
+    return per.groupBy("source_id").agg(F.count_if(F.col("first_seen_at") == run_stamp).cast("long").alias("new_count"),
+                                        F.count_if(F.col("last_changed_at") == run_stamp).cast("long").alias("changed_count"))
+
+
+def with_change_counts(statuses: DataFrame, items: DataFrame, run_stamp: str) -> DataFrame:
+    """R5 into the status rows: sources that succeeded get their counts, others keep theirs."""
+    found = change_counts(items, run_stamp).select("source_id", F.col("new_count").alias("_new"), F.col("changed_count").alias("_changed"))
+    joined = statuses.join(found, "source_id", "left")
+    ok = F.col("status") == "success"
+    value = lambda name, count: F.when(ok, F.coalesce(count, F.lit(0))).otherwise(F.col(name)).cast("long")
+    return joined.withColumns({"new_count": value("new_count", F.col("_new")), "changed_count": value("changed_count", F.col("_changed"))}).select(*statuses.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark import SCHEMA_VERSION
 from tidemark.functions.shapes import document_faults
-from tidemark.schema import LISTING_SCHEMA, REREAD_SHAPE
+from tidemark.schema import LISTING_SCHEMA, REREAD_SHAPE, RUN_STATUS_SCHEMA
 
 def is_missing_path(error: AnalysisException) -> bool:
     """Whether a read failed only because nothing has been written there yet;
@@ -59,9 +59,10 @@ def from_json_lines(df: DataFrame, col: str = "value") -> DataFrame:
 MANIFEST_SCHEMA = "schema_version int, generated_at string, run string, datasets array<string>"
 
 
-def write_run(published: DataFrame, root: str, run_id: str, generated_at: str) -> str:
+def write_run(published: DataFrame, root: str, run_id: str, generated_at: str, statuses: DataFrame | None = None) -> str:
     """S7 + S8: write every dataset (rank-ordered files) under
-    ``root/runs/run_id``, then a one-row manifest under ``root/_manifests``.
+    ``root/runs/run_id``, the source statuses (the fifth output) under
+    ``root/statuses/run_id``, then a one-row manifest under ``root/_manifests``.
     A run is visible only once its manifest exists; all IO goes through Spark,
     so the root can be any file system the cluster uses."""
     spark = published.sparkSession
@@ -71,6 +72,8 @@ def write_run(published: DataFrame, root: str, run_id: str, generated_at: str) -
     # writing rank-ordered files into its dataset directory.
     out = published.repartitionByRange("dataset", "rank").sortWithinPartitions("dataset", "rank")
     out.select("dataset", "rank", *LISTING_SCHEMA.fieldNames()).write.mode("overwrite").partitionBy("dataset").json(target)
+    if statuses is not None:
+        statuses.select(*RUN_STATUS_SCHEMA.fieldNames()).write.mode("overwrite").json(f"{base}/statuses/{run_id}")
     manifest = spark.createDataFrame([(SCHEMA_VERSION, generated_at, run_id, list(DATASETS))], MANIFEST_SCHEMA)
     manifest.coalesce(1).write.mode("overwrite").json(f"{base}/_manifests/{run_id}")
     return target
@@ -88,6 +91,20 @@ def latest_manifest(spark: SparkSession, root: str) -> dict | None:
     return row[0].asDict() if row else None
 
 
+def read_statuses(spark: SparkSession, root: str) -> DataFrame:
+    """The source statuses of the newest published run; none before the first one."""
+    manifest = latest_manifest(spark, root)
+    empty = spark.createDataFrame([], RUN_STATUS_SCHEMA)
+    if manifest is None:
+        return empty
+    try:
+        return spark.read.schema(RUN_STATUS_SCHEMA).json(f"{root.rstrip('/')}/statuses/{manifest['run']}")
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
+        return empty
+
+
 def read_published(spark: SparkSession, root: str, dataset: str | None = None) -> DataFrame:
     """Q13: read the run named by the latest manifest; a dataset filter prunes
     to one partition directory."""
