@@ -195,7 +195,7 @@ def q_dq_payload_rules(spark, sf):
     ranked = F.concat(F.lit("{\"rank\":"), F.col("doc_id").cast("string"), F.lit(","), F.substring(whole, F.lit(2), F.length(whole)))
     rows = records(spark, sf).select(ranked.alias("value"), F.when(F.col("doc_id") % 3 == 0, "closed").otherwise("active").alias("dataset"))
     rows.write.partitionBy("dataset").text(f"{root}/runs/r1")
-    manifest = spark.createDataFrame([(99, "not a time", "r1", list(snapshot.DATASETS))], snapshot.MANIFEST_SCHEMA)
+    manifest = spark.createDataFrame([(99, "not a time", "r1", list(snapshot.DATASETS), 1, None)], snapshot.MANIFEST_SCHEMA)
     manifest.write.json(f"{root}/_manifests/r1")
     return quality.payload_violations(spark, root)
 

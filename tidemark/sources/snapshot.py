@@ -56,7 +56,8 @@ def from_json_lines(df: DataFrame, col: str = "value") -> DataFrame:
     return df.select(F.from_json(F.col(col), LISTING_SCHEMA).alias("r")).select("r.*")
 
 
-MANIFEST_SCHEMA = "schema_version int, generated_at string, run string, datasets array<string>"
+# ``seq`` and ``parent`` make the manifests a ledger: a run's number and the run before it.
+MANIFEST_SCHEMA = "schema_version int, generated_at string, run string, datasets array<string>, seq long, parent string"
 
 
 def write_run(published: DataFrame, root: str, run_id: str, generated_at: str, statuses: DataFrame | None = None) -> str:
@@ -74,23 +75,42 @@ def write_run(published: DataFrame, root: str, run_id: str, generated_at: str, s
     out.select("dataset", "rank", *LISTING_SCHEMA.fieldNames()).write.mode("overwrite").partitionBy("dataset").json(target)
     if statuses is not None:
         statuses.select(*RUN_STATUS_SCHEMA.fieldNames()).write.mode("overwrite").json(f"{base}/statuses/{run_id}")
-    manifest = spark.createDataFrame([(SCHEMA_VERSION, generated_at, run_id, list(DATASETS))], MANIFEST_SCHEMA)
-    manifest.coalesce(1).write.mode("overwrite").json(f"{base}/_manifests/{run_id}")
+    publish_manifest(spark, base, run_id, generated_at)
     return target
 
 
-def latest_manifest(spark: SparkSession, root: str) -> dict | None:
-    """The newest published manifest (by generated_at, then run id), or None."""
+def publish_manifest(spark: SparkSession, base: str, run_id: str, generated_at: str) -> None:
+    """Enter a written run into the ledger, after the newest other run. A run that
+    is entered again keeps its number."""
+    own = manifest_of(spark, base, run_id)
+    last = latest_manifest(spark, base)
+    seq, parent = (own["seq"], own["parent"]) if own else ((last["seq"] or 0) + 1 if last else 1, last["run"] if last else None)
+    row = [(SCHEMA_VERSION, generated_at, run_id, list(DATASETS), seq, parent)]
+    spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{base}/_manifests/{run_id}")
+
+
+def manifest_of(spark: SparkSession, root: str, run_id: str) -> dict | None:
+    """The ledger's entry of one run, or None if it was never published."""
+    return _newest(spark, f"{root.rstrip('/')}/_manifests/{run_id}")
+
+
+def _newest(spark: SparkSession, path: str) -> dict | None:
     try:
-        m = spark.read.schema(MANIFEST_SCHEMA).json(f"{root.rstrip('/')}/_manifests/*")
+        m = spark.read.schema(MANIFEST_SCHEMA).json(path)
     except AnalysisException as e:
         if not is_missing_path(e):
             raise
         return None
-    row = m.orderBy(F.col("generated_at").desc(), F.col("run").desc()).limit(1).collect()
+    order = [F.col("seq").desc_nulls_last(), F.try_to_timestamp("generated_at").desc_nulls_last(), F.col("run").desc()]
+    row = m.orderBy(*order).limit(1).collect()
     return row[0].asDict() if row else None
 
 
+def latest_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The newest published manifest (by number, then instant), or None."""
+    return _newest(spark, f"{root.rstrip('/')}/_manifests/*")
+
+
 def read_statuses(spark: SparkSession, root: str) -> DataFrame:
     """The source statuses of the newest published run; none before the first one."""
     manifest = latest_manifest(spark, root)
