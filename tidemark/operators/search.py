@@ -40,7 +40,6 @@ BLOCK_ROWS = 100_000     # rows of a block of texts, about
 MOST_BLOCKS = 4096
 PROBES = 4               # grams probed per long term
 BITS = 21
-_LAST = (1 << BITS) - 1
 
 
 def pack(points: np.ndarray) -> np.ndarray:
