@@ -44,6 +44,7 @@ MIN_WORDS = 1
 REPEATS = 64
 SHIFTS = 7            # starts tried around the implied one
 BITMAP = 1 << 24      # bits of the piece filter
+WINDOWS = 1024        # windows that are embedded at once
 SEED = 271828
 
 _PLACE = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -271,11 +272,12 @@ def hashed(found: DataFrame, items: DataFrame, seeds: DataFrame, similar: int =
                             part[:len(h[s:s + n])] = h[s:s + n]
                             groups.setdefault(n, []).append((i, s, part))
             for n, rows in groups.items():
-                keys = cgk_keys(np.stack([r[2] for r in rows]), n).reshape(-1)
-                may = known[keys.view(np.uint64) % np.uint64(BITMAP)]
-                out = pd.DataFrame({"at": np.repeat([r[0] for r in rows], REPEATS)[may], "key": keys[may], "start": np.repeat([r[1] for r in rows], REPEATS)[may]})
-                out = out.groupby(["at", "key"])["start"].agg(["min", "max"]).reset_index()
-                yield pdf.iloc[out["at"]][row].assign(lo=out["min"].to_numpy(), hi=out["max"].to_numpy(), n=n, key=out["key"].to_numpy())
+                for part in (rows[lo:lo + WINDOWS] for lo in range(0, len(rows), WINDOWS)):
+                    keys = cgk_keys(np.stack([r[2] for r in part]), n).reshape(-1)
+                    may = known[keys.view(np.uint64) % np.uint64(BITMAP)]
+                    out = pd.DataFrame({"at": np.repeat([r[0] for r in part], REPEATS)[may], "key": keys[may], "start": np.repeat([r[1] for r in part], REPEATS)[may]})
+                    out = out.groupby(["at", "key"])["start"].agg(["min", "max"]).reset_index()
+                    yield pdf.iloc[out["at"]][row].assign(lo=out["min"].to_numpy(), hi=out["max"].to_numpy(), n=n, key=out["key"].to_numpy())
 
     cut = found.join(lists.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("base").alias("_b"), "windows"),
                      F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("base") == F.col("_b")))
