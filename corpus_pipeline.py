@@ -21,7 +21,7 @@ from tidemark.llm import decontaminate, lines, minhash, pieces, toxicity
 from tidemark.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-REMEMBER = 250_000   # the other stages' workers may still hold memory
+REMEMBER = 100_000   # the other stages' workers may still hold memory
 LINK = 80   # near duplicates: hundredths of similarity of five-word shingles
 
 
