@@ -11,7 +11,7 @@ from tidemark.plans import sqlgen as sg
 from tidemark.plans.catalog import register
 from tidemark.plans.q_run import SOURCES_SQL, selected
 from tidemark.sources import fixtures as fx
-from tidemark.sources.tables import table
+from tidemark.sources.tables import dealt, table
 
 
 @register("page_parse")
@@ -79,7 +79,7 @@ SELECT p_partkey, 'https://h.example.org/v/' || p_partkey, 'hackathon & game jam
 def q_link_candidates_part(spark, sf):
     """X7 over pages derived from part: bold and quoted anchors, query-only and
     dotted links, references, a foreign host, a short text, a repeated link."""
-    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.expr(PART_URL).alias("url"), _part_html().alias("html"))
+    pages = dealt(table(spark, sf, "part")).select(F.col("p_partkey").alias("page_id"), F.expr(PART_URL).alias("url"), _part_html().alias("html"))
     return extract.link_candidates(pages).select("page_id", "link", "text", F.col("rank").cast("int"))
 
 
