@@ -99,3 +99,9 @@ def test_record_faults_keep_the_rows_columns(spark):
     lines = spark.createDataFrame([("a", json.dumps(changed(extra=1, title=...))), ("b", json.dumps(GOOD))], "k string, value string")
     got = sorted(map(tuple, quality.record_faults(lines, LISTING_SHAPE).collect()))
     assert got == [("a", "extra", "unknown_key"), ("a", "title", "missing_key")]
+
+
+def test_a_document_is_parsed_and_its_objects_are_read_once(spark):
+    made = str(document_faults(LISTING_SHAPE, F.col("value")))
+    assert made.count("try_parse_json") == 1
+    assert len(made) < 40_000          # grows with the keys of the shape, not with their product
