@@ -70,3 +70,9 @@ def test_odd_documents(spark, odd_docs, no_docs, library):
     assert len(rows) == odd_docs.count() and all(r["decoded"] == (r["text"] or "") for r in rows)
     assert all(r["ids"] == library.encode(r["text"] or "") for r in rows)
     assert P.decode(P.encode(no_docs)).count() == 0
+
+
+def test_decoding_hands_out_the_bytes_of_the_ids_only(spark, no_docs, vocabulary, monkeypatch):
+    encoded, sent = P.encode(no_docs), []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value, f=type(spark.sparkContext).broadcast: sent.append(value) or f(self, value))
+    assert P.decode(encoded).count() == 0 and sent == [vocabulary.raw]

@@ -70,3 +70,13 @@ def test_empty_documents(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_ids_are_written_before_they_are_decoded(spark):
+    """One Python worker per task: the last stage's plan only decodes."""
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (2, "x" * (pieces.GIANT + 1))], "doc_id long, text string")
+    out = cp.encode(spark, docs, SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapIn") == 1
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = {r["decoded"]: r for r in out.collect()}
+    assert set(rows) == {"one two three", "", "x" * (pieces.GIANT + 1)} and all(r["ids"] == sp.encode(t) for t, r in rows.items())

@@ -247,9 +247,13 @@ class Vocabulary:
         return b"".join([known(s) or atom(s) for s in _ATOM.findall(marked)])
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids.tolist()])
-        return text[1:].decode() if text else ""
+        return text_of(self.raw, ids)
+
+
+def text_of(raw: list[bytes], ids: np.ndarray) -> str:
+    """The text that ``ids`` stand for; ``raw`` holds the bytes of each id."""
+    text = b"".join([raw[i] for i in ids.tolist()])
+    return text[1:].decode() if text else ""
 
 
 def marked(text: str) -> str:
@@ -455,7 +459,7 @@ def encode(documents: DataFrame, model: str = MODEL, giant: int = GIANT, chunk:
 def decode(encoded: DataFrame, model: str = MODEL, column: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ``ids`` stand for in ``column``."""
     spark = encoded.sparkSession
-    v = spark.sparkContext.broadcast(Vocabulary.load(model))
+    raw = spark.sparkContext.broadcast(Vocabulary.load(model).raw)   # no worker needs more to decode
     names = [c for c in encoded.columns if c != column]
     encoded = encoded.select(*names)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{column}` string"
@@ -466,7 +470,7 @@ def decode(encoded: DataFrame, model: str = MODEL, column: str = "decoded") -> D
                 part = batch.slice(lo, 512)
                 ids = part.column("ids")
                 flat, ends = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))])
-                texts = [v.value.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                texts = [text_of(raw.value, flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, column])
 
     return encoded.mapInArrow(run, ddl)
