@@ -102,3 +102,19 @@ def test_ledger_orders_runs_by_number(spark, tmp_path):
     assert snap.latest_manifest(spark, root)["run"] == "run-9"
     snap.publish_manifest(spark, root, "run-2", "2024-02-01T00:00:00+00:00")     # entered again: keeps its number
     assert snap.latest_manifest(spark, root)["run"] == "run-9" and snap.manifest_of(spark, root, "run-2")["seq"] == 1
+
+
+def test_scheduled_run_does_not_shuffle_raw_listings(spark, monkeypatch):
+    from tidemark.streaming import scheduled
+    monkeypatch.setattr(scheduled.pipeline, "run", lambda inp: inp.raw)
+    raw = spark.createDataFrame([("a", "text"), ("b", "text"), ("c", "text")], "source_id string, body_text string")
+    sources = spark.createDataFrame([("a", True, "fast"), ("b", True, "slow"), ("c", True, "fast")], "id string, enabled boolean, schedule string")
+    failed = spark.createDataFrame([("c",)], "source_id string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # tables whose size is not known before they are worked out
+    try:
+        out = scheduled.scheduled_run(raw, None, sources, "fast", failed, {}, "", "")
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert [r.source_id for r in out.collect()] == ["a"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
